@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, simhash, substring_dedup
+from . import license_scan, line_dedup, packing, simhash, substring_dedup, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -22,11 +26,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op3_substring_dedup, op6_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_substring_dedup, op6_simhash, op7_packing, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
     "op3_substring_dedup": substring_dedup.oracle(),
+    "op10_line_dedup": line_dedup.oracle(),
 }
