@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, packing, simhash, substring_dedup, toxicity
+from . import embedding_dedup, license_scan, line_dedup, packing, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -30,16 +30,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_substring_dedup, op6_simhash, op7_packing, op10_line_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_substring_dedup, op6_simhash, op7_packing, op8_embedding_dedup, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
     "op3_substring_dedup": substring_dedup.oracle(),
+    "op8_embedding_dedup": embedding_dedup.oracle(),
     "op10_line_dedup": line_dedup.oracle(),
 }
