@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, license_scan, line_dedup, packing, simhash, substring_dedup, toxicity
+from . import embedding_dedup, fingerprint, html_extract, license_scan, line_dedup, packing, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.repeated_words(table(spark, sf_dir, "documents")))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents")).drop("edited_only")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -34,12 +38,27 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_substring_dedup, op6_simhash, op7_packing, op8_embedding_dedup, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_license_scan,
+        op3_substring_dedup,
+        op5_fingerprint,
+        op6_simhash,
+        op7_packing,
+        op8_embedding_dedup,
+        op9_html_extract,
+        op10_line_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
