@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprint, html_extract, license_scan, line_dedup, packing, simhash, substring_dedup, toxicity
+from . import embedding_dedup, fingerprint, html_extract, license_scan, line_dedup, mixing, packing, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.repeated_words(table(spark, sf_dir, "documents")))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents")).drop("edited_only")
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_toxicity,
         op2_license_scan,
         op3_substring_dedup,
+        op4_mixing,
         op5_fingerprint,
         op6_simhash,
         op7_packing,

@@ -328,17 +328,37 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     spread = docs.sparkSession.sparkContext.broadcast((model.chars.table, model.weights, model.logistic))  # of fixed size: the trigram table and at most MAX_FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars, weights, logistic = spread.value
-        judge = Judge(weights, CharModel(chars))
+        judge, logistic = loaded(spread.value)
         for b in batches:
-            x = np.array([judge(t.as_py()) for t in b.column(2)], float).reshape(-1, STATS)
-            s = 1 / (1 + np.exp(-np.clip(x @ logistic, -30, 30)))
+            s = scores(judge, logistic, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def loaded(parts: tuple) -> tuple[Judge, np.ndarray]:
+    chars, weights, logistic = parts
+    return Judge(weights, CharModel(chars)), logistic
+
+
+def scores(judge: Judge, logistic: np.ndarray, texts: pa.Array) -> np.ndarray:
+    x = np.array([judge(t.as_py()) for t in texts], float).reshape(-1, STATS)
+    return 1 / (1 + np.exp(-np.clip(x @ logistic, -30, 30)))
+
+
+def kept(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    spread = docs.sparkSession.sparkContext.broadcast((model.chars.table, model.weights, model.logistic))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, logistic = loaded(spread.value)
+        for b in batches:
+            yield b.filter(pa.array(scores(judge, logistic, b.column(text_col)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Train on docs and labels, then score every row of docs.
 
