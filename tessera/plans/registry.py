@@ -28,7 +28,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @query(
-    """SELECT n_name AS nation, date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n_orders,
+    """SELECT n_name AS nation, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_orders,
        sum(CAST(o_totalprice AS DECIMAL(18, 2)))::DOUBLE AS revenue
        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"""
 )
@@ -37,6 +37,6 @@ def flagship_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
         .join(nation, customer.c_nationkey == nation.n_nationkey)
-        .groupBy(F.col("n_name").alias("nation"), F.trunc(F.to_date("o_orderdate"), "month").alias("month"))
+        .groupBy(F.col("n_name").alias("nation"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
         .agg(F.count("*").alias("n_orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("revenue"))
     )
