@@ -153,42 +153,67 @@ def features_of(blocks: list[Block]) -> np.ndarray:
     return np.column_stack([flags, words, density, before(words), before(density), after(words), after(density)]) if blocks else np.zeros((0, len(FEATURES)))
 
 
-# The labelled table: small pages; what lies in a section marked data-keep is the article.
-_S, _L = "Rain fell on the harbour.", "The old harbour wall was built from local stone, and it has kept the winter storms away from the boats for more than a century."
-LABELLED = [
-    f"<body><header><a href=/>Daily Post</a></header><nav><ul><li><a href=/a>News</a><li><a href=/b>Sport</a></ul></nav><article><section data-keep><h1>{_S}</h1><p>{_L}</p><p>{_S}</p><p>{_L} <a href=/x>More</a> {_S}</p></section></article><aside><p>{_S}</p><p>{_L}</p></aside><footer><p>{_S}</p></footer></body>",
-    f"<body><nav><a href=/a>Home</a></nav><div class=ad>{_S}</div><article><section data-keep><h1>{_S}</h1><p>{_L}<br><p>{_S}<p>Yes.</p></section></article><footer>Contact <a href=/c>us</a> {_S}</footer></body>",
-    f"<body><div id=menu><a href=/a>One</a> <a href=/b>Two</a></div><div class='cookie-notice'><p>{_L}</p><p>{_S}</p></div><main><section data-keep><h2>{_S}</h2><p>{_L}</p><ul><li>{_S}</li><li>{_L}</li></ul><blockquote>{_S}</blockquote></section><div class=comments><h3>Replies</h3><p>{_L}</p><p>{_S}</p></div></main></body>",
-    f"<body><div><a href=/a>First story</a></div><div><a href=/b>Second story</a> <a href=/c>Third</a></div><div><section data-keep><p>{_L}</p><p>{_L} {_L}</p><p>{_L} <a href=/x>here</a></p></section></div><div><a href=/d>Next page</a></div><div>{_S[:4]} <a href=/e>all rights</a></div></body>",
-    f"<body><form><label>Name</label><p>{_S}</p><button>Send it</button></form><article><header><section data-keep><h1>{_S}</h1></section><p>By A. Writer</p></header><section data-keep><p>{_L}</p><table><tr><td>{_S}</td><td>12</td></tr></table><p><a href=/x>{_S}</a></p><p>{_L}</p></section><div class=share><a href=/s>Share</a></div><div class=related><p>{_L}</p></div></article></body>",
-    f"<body><div role=banner>{_S}</div><div class=sidebar><h3>{_S}</h3><p>{_L} {_L}</p></div><section data-keep><p>{_L} {_S}</p><p>{_L}</p></section><div class=newsletter><p>{_L}</p></div><div>{_S[:4]}</div></body>",
-    f"<body><header><h1><a href=/>{_S}</a></h1><p>{_L}</p></header><article><section data-keep><h1>{_S}</h1><p>{_L}</p><h2>Two</h2><p>{_S}</p><p>{_L}</p></section></article><aside><ul><li>{_S}</li></ul></aside></body>",
-    f"<body><article><header><section data-keep><h1>Rain</h1></section><p>By A. Writer, our reporter</p></header><section data-keep><p>{_L}</p><h2>Sea</h2><p>No.</p></section><footer><p>{_L}</p></footer></article></body>",
-    f"<body><nav><a href=/a>{_S}</a></nav><article><section data-keep><h1>Sea</h1><p>{_S}</p><p>{_L}</p><p>End.</p></section></article></body>",
-    f"<body><h3><a href=/a>Post</a></h3><div class=alert>{_L} {_L}</div><section data-keep><p>{_L} {_S}</p><p>{_L}</p></section></body>",
+# The labelled table: small pages, each of a beginning, an article and an end; what lies in a section marked data-keep is
+# the article.  _W, _S and _L are texts of one, five and twenty-five words.
+_W, _S = "Harbour.", "Rain fell on the harbour."
+_L = "The old harbour wall was built from local stone, and it has kept the winter storms away from the boats for more than a century."
+BEGIN = [
+    "",
+    f"<header><a href=/>Daily Post</a><p>{_S}</p></header><nav><ul><li><a href=/a>{_W}</a><li><a href=/b>{_S}</a></ul></nav>",
+    f"<nav><a href=/a>Home</a> {_L}</nav><div class=ad>{_S}</div>",
+    f"<div><a href=/a>First story</a></div><div><a href=/b>{_S}</a> <a href=/c>Third</a></div>",
+    f"<div class='cookie-notice'><p>{_L}</p><p>{_W}</p></div><aside><p>{_L}</p><p>{_S}</p></aside>",
+    f"<div role=banner>{_L}</div><ul><li><a href=/a>{_S}</a></li><li><a href=/b>{_L}</a></li></ul>",
+    f"<form><label>Name</label><p>{_L}</p><button>{_S}</button></form><div id=menu>{_S}</div>",
 ]
+ARTICLE = [
+    f"<article><section data-keep><h1>{_S}</h1><p>{_L}</p><p>{_S}</p><p>{_L} <a href=/x>More</a> {_S}</p><p>{_W}</p></section></article>",
+    f"<article><section data-keep><h1>{_W}</h1><p>{_S}<br><p>{_L}<p>{_W}<p><a href=/x>{_S}</a> {_W}</p></section><div class=comments><h3>Replies</h3><p>{_L}</p><p>{_S}</p></div></article>",
+    f"<main><section data-keep><h2>{_S}</h2><p>{_L}</p><ul><li>{_S}</li><li>{_W}</li></ul><blockquote>{_S}</blockquote><table><tr><td>{_W}</td><td>{_L}</td></tr></table></section><aside><p>{_L}</p></aside></main>",
+    f"<article><header><section data-keep><h1>{_W}</h1></section><p>By A. Writer, our reporter</p></header><section data-keep><p>{_L}</p><h2>{_S}</h2><p>{_S}</p></section><footer><p>{_L}</p></footer></article>",
+    f"<section data-keep><p>{_L}</p><p>{_L} {_L}</p><p>{_L} <a href=/x>here</a></p></section>",
+    f"<div><section data-keep><p>{_L} {_S}</p><p>{_L} {_L}</p></section></div>",
+]
+END = [
+    "",
+    f"<aside><p>{_S}</p><p>{_L}</p></aside><footer><p>{_S}</p><a href=/c>us</a></footer>",
+    f"<footer>{_L} <a href=/c>us</a></footer>",
+    f"<div><a href=/d>Next page</a></div><div>{_W} <a href=/e>all rights</a></div>",
+    f"<div class=share><a href=/s>Share</a></div><div class=related><p>{_L}</p><p>{_S}</p></div>",
+    f"<section class=newsletter><p>{_L} {_L}</p><p>{_S}</p></section><p><a href=/c>{_L}</a></p><div>{_W}</div>",
+]
+# Every page is there with long texts of three lengths.
+LONG = [_L, " ".join(_L.split()[:16]), f"{_L} {_L} {_S}"]
+LABELLED = [f"<body>{a}{b}{c}</body>".replace(_L, long) for a in BEGIN for b in ARTICLE for c in END for long in LONG]
+
+
+# What holds a block is asked first, then the block itself, then its neighbours.
+GROUPS = (range(6), range(6, 8), range(8, 12))
 
 
-def grown(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
-    """A decision tree by the Gini impurity: (feature, threshold, at or below, above), or a leaf's share of kept blocks."""
+def grown(x: np.ndarray, y: np.ndarray, depth: int = 10) -> tuple:
+    """A decision tree by the Gini impurity: (feature, threshold, at or below, above), or a leaf's share of kept blocks.
+
+    A split comes from the first group of features in which one takes off a fiftieth of the impurity."""
     share = float(y.mean()) if len(y) else 0.0
-    if depth == 0 or share in (0.0, 1.0):
-        return (share,)
-    best = (1e-9, 0, 0.0)
     start = share * (1 - share) * len(y)
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= t
-            a, b = y[low].mean(), y[~low].mean()
-            gain = start - a * (1 - a) * low.sum() - b * (1 - b) * (~low).sum()
-            if gain > best[0] + 1e-12:
-                best = (gain, f, float(t))
-    if best[0] <= 1e-9:
+    if depth == 0 or start == 0:
         return (share,)
-    _, f, t = best
-    low = x[:, f] <= t
-    return (f, t, grown(x[low], y[low], depth - 1), grown(x[~low], y[~low], depth - 1))
+    for group in GROUPS:
+        best = (start / 50, 0, 0.0)
+        for f in group:
+            values = np.unique(x[:, f])
+            for t in (values[1:] + values[:-1]) / 2:
+                low = x[:, f] <= t
+                a, b = y[low].mean(), y[~low].mean()
+                gain = start - a * (1 - a) * low.sum() - b * (1 - b) * (~low).sum()
+                if gain > best[0] + 1e-12:
+                    best = (gain, f, float(t))
+        if best[0] > start / 50:
+            _, f, t = best
+            low = x[:, f] <= t
+            return (f, t, grown(x[low], y[low], depth - 1), grown(x[~low], y[~low], depth - 1))
+    return (share,)
 
 
 def trained(pages: list[str] = LABELLED) -> tuple:
