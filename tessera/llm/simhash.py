@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import connected_components, cut, shuffle_width
 
@@ -52,15 +53,16 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(digests)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long.  Null and empty texts have 0."""
+def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """docs with fp, the fingerprint as a signed long.  Null and empty texts have 0."""
+    rows = docs.drop("fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint_of(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint_of(t.as_py(), shingle) for t in b.column(text_col)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
 
 
 def shifted(planes: np.ndarray, d: int) -> np.ndarray:
@@ -187,6 +189,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot_b
     )
 
 
+def with_components(classes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """classes (fp, ..) with component, a fingerprint that stands for all those linked to each other."""
+    found = connected_components(links(classes.select("fp"), radius, blocks)).withColumnRenamed("node", "fp")
+    return classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS
 ) -> DataFrame:
@@ -196,12 +204,23 @@ def simhash_components(
     name a component.  Empty texts have fingerprint zero and link like any other.  Repeated rows give
     repeated rows.  Empty tables give empty results.  Other columns of docs are not read.
     """
-    fp = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    comp = connected_components(links(classes.select("fp"), radius, blocks))
-    member = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    fp = cut(with_fingerprints(rows, "text", shingle).select("doc_id", "fp"))
+    member = with_components(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), radius, blocks)
     lowest = member.groupBy("component").agg(F.min("first").alias("component_id"))
     named = member.join(lowest, "component").select("fp", "component_id")
     return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS
+) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one of each component: the one with the smallest id.
+
+    Null ids come last; of rows with equal ids in a component the first in the table stays.  Columns called fp and row are dropped.
+    """
+    rows = cut(with_fingerprints(docs.drop("row"), text_col, shingle).withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row")
+    member = with_components(rows.groupBy("fp").agg(F.min(order).alias("first")), radius, blocks)
+    stay = member.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(stay, "row", "left_semi").drop("fp", "row")
