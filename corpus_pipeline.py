@@ -38,10 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = simhash.simhash_components(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(first, "doc_id", "left_semi")
-    return same_columns(one.dropDuplicates(["doc_id"]), docs).unionByName(same_columns(docs.where("doc_id is null"), docs))
+    return same_columns(simhash.one_of_each(docs), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
