@@ -99,20 +99,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     levels = repeated_suffixes(docs, id_col, text_col)
     source = keyed(docs.drop(*KEY, *extra), id_col, text_col)
     starts = later_copies(levels, min_lines)
+    marks = None
+    for n, level in levels:
+        own = level.where(F.struct(*KEY, "pos") > F.col("first")).select(*KEY, F.lit(n).alias("longest_copy"))
+        marks = own if marks is None else marks.unionByName(own)
+    if marks is None:
+        joined = source.withColumn("longest_copy", F.lit(0))
+    else:
+        joined = source.join(marks.groupBy(*KEY).agg(F.max("longest_copy").alias("longest_copy")), KEY, "left")
     if starts is None:
-        joined = source.withColumns({"gone": F.lit(None).cast("map<int,array<int>>"), "longest_copy": F.lit(0)})
+        joined = joined.withColumn("gone", F.lit(None).cast("map<int,array<int>>"))
     else:
         covered = starts if min_lines == 1 else (
             starts.select(*KEY, F.explode(F.sequence("pos", F.col("pos") + min_lines - 1)).alias("pos")).distinct()
         )
         blocks = covered.groupBy(*KEY, F.floor(F.col("pos") / BLOCK).cast("int").alias("block")).agg(F.collect_list("pos").alias("at"))
-        gone = blocks.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("block", "at"))).alias("gone"))
-        longest = None
-        for n, level in levels:
-            own = level.where(F.struct(*KEY, "pos") > F.col("first")).select(*KEY, F.lit(n).alias("longest_copy"))
-            longest = own if longest is None else longest.unionByName(own)
-        marks = gone.join(longest.groupBy(*KEY).agg(F.max("longest_copy").alias("longest_copy")), KEY, "full")
-        joined = source.join(marks, KEY, "left")
+        joined = joined.join(blocks.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("block", "at"))).alias("gone")), KEY, "left")
     lines = lines_of(F.col(text_col))
     lost = lambda i: F.coalesce(F.array_contains(F.col("gone")[F.floor(i / BLOCK).cast("int")], i), F.lit(False))
     kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~lost(i)))
