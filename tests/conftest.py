@@ -2,6 +2,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -30,7 +31,7 @@ def spark(tmp_path_factory):
 
 
 def plain(x):
-    if x is None or x != x:
+    if not isinstance(x, (list, tuple)) and pd.isna(x):
         return "null"
     if isinstance(x, float) and x == int(x):
         return str(int(x))
