@@ -12,8 +12,11 @@ A group's last sequence is the only one that may hold padding, so padding falls
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, for_worker
 
 WINDOW = 2048
 END_ID = 1
@@ -37,31 +40,53 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of whole texts.  White space never lies inside a token of this vocabulary, so its runs are
-    encoded once for each text piece between them and remembered."""
+    """Ids of whole texts.  White space never lies inside a token of this vocabulary, nor does a token reach over a
+    border between letters, a digit and signs: what stands between white space is encoded once and remembered, and
+    so are its parts.  Both memories are of bounded size."""
 
     ODD_SPACE = tuple("\x1c\x1d\x1e\x1f")  # these split for Python only
+    # Fixed value: the vocabulary's own cut into parts; used below U+0250, where no Unicode version differs.
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, most: int = 400_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        import regex
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tok, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.find, self.far = regex.compile(self.PARTS).findall, re.compile("[^\x00-\u024f]").search
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        whole = [w for w in words if self.far(w)]
+        self.known.update(zip(whole, self.plain(whole), strict=True))
+        cut = {w: self.find(normalize("NFC", w).lower()) for w in words.difference(whole)}
+        if len(self.parts) > 2 * self.most:
+            self.parts.clear()
+        new = list(set(chain.from_iterable(cut.values())).difference(self.parts))
+        for at in range(0, len(new), 20_000):
+            self.parts.update(zip(new[at : at + 20_000], self.plain(new[at : at + 20_000]), strict=True))
+        get = self.parts.__getitem__
+        for w, found in cut.items():
+            self.known[w] = b"".join(map(get, found))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        pieces = [t.split() if not any(c in t for c in self.ODD_SPACE) else None for t in texts]
-        new = set().union(*[p for p in pieces if p]).difference(known) if pieces else set()
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = set().union(*[p for p in pieces if p])
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        pieces = []
+        for t in texts:
+            odd = any(c in t for c in self.ODD_SPACE)
+            pieces.append(None if odd else (t if self.far(t) else t.lower()).split())
+        if len(self.known) > self.most:
+            self.known.clear()
+        self.learn(set(chain.from_iterable(p for p in pieces if p)).difference(self.known))
+        get = self.known.__getitem__
         return [
-            np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") if p is not None else np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4")
-            for t, p in zip(texts, pieces, strict=True)
+            np.frombuffer(b"".join(map(get, p)), "<u4") if p is not None else np.frombuffer(self.plain([t])[0], "<u4") for t, p in zip(texts, pieces, strict=True)
         ]
 
 
@@ -69,10 +94,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window:
     """A row per row of docs: doc_id, doc_tokens, the checksums of its full windows, its remainder's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(tokenizer)
+        encode = for_worker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
