@@ -91,11 +91,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Nulls: a null text is empty and has one blank line; a null id counts as the smallest.  Rows alike in id and
     text are one document: each keeps the same lines.  Rows alike in id alone are ordered by their text's hash.
     Blank lines are kept.  Texts of which nothing is left are empty.  Empty tables give empty results.  Other
-    columns stay as they are; columns called k1, k2, gone, n_lines, n_removed or longest_copy are replaced.
+    columns stay as they are; columns called k1, k2, gone, kept, n_lines, n_removed or longest_copy are dropped or replaced.
     """
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
-    extra = ["gone", "n_lines", "n_removed", "longest_copy"]
+    extra = ["gone", "kept", "n_lines", "n_removed", "longest_copy"]
     levels = repeated_suffixes(docs, id_col, text_col)
     source = keyed(docs.drop(*KEY, *extra), id_col, text_col)
     starts = later_copies(levels, min_lines)
