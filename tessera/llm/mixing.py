@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, for_worker
 
 BINS = 1 << 14
 MAX_LABELLED = 20_000
@@ -61,10 +61,10 @@ def labelled(docs: DataFrame, max_labelled: int) -> DataFrame:
 def learned(docs: DataFrame, domains: list[str], max_labelled: int) -> np.ndarray:
     """log P(bin | domain) less the mean over domains: (domains, BINS)."""
     place = {d: i for i, d in enumerate(domains)}
-    bins = Bins()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
+        bins = for_worker("bins", Bins)
         for b in batches:
             for t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if d in place:
@@ -87,11 +87,10 @@ def posteriors(docs: DataFrame, domains: list[str], words: np.ndarray, tag_trust
     """docs without text, with tokens and posterior (one share for each domain)."""
     place = {d: i for i, d in enumerate(domains)}
     table = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(words.T))  # BINS x domains, whatever the input
-    bins = Bins()
     others = np.log(max(1e-9, 1 - tag_trust) / max(1, len(domains) - 1)) if len(domains) > 1 else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = table.value
+        score, bins = table.value, for_worker("bins", Bins)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
