@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_width
+from .common import for_worker, shuffle_width
 
 WINDOW = 35
 BLOCK = 18
 UNIT_DOCS = 128
-SHARDS_PER_PARTITION = 4
+SHARDS_PER_PARTITION = 1
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -49,12 +49,12 @@ class Words:
     """64-bit hashes of words, the same in every process."""
 
     def __init__(self, most: int = 1_000_000):
-        from xxhash import xxh3_64_intdigest
-
-        self.known, self.most, self.digest = {}, most, xxh3_64_intdigest
+        self.known, self.most = {}, most
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, digest = self.known, self.digest
+        from xxhash import xxh3_64_intdigest as digest
+
+        known = self.known
         if len(known) > self.most:
             known.clear()
         for w in set(words).difference(known):
@@ -62,9 +62,9 @@ class Words:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def split(text: str | None) -> list[bytes]:
+def split(text: bytes | None) -> list[bytes]:
     """Words: runs of anything but the space and the characters from tab to carriage return."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+    return (text or b"").split()
 
 
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
@@ -80,6 +80,22 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     return mixed((sums[k:] - sums[:-k]) * down[: n - k + 1] + np.uint64(k))
 
 
+def gathered(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """The words of each text, the hashes of all of them one after another, and where each text begins."""
+    words = [split(t) for t in texts]
+    hashed = for_worker("words", Words)
+    return words, hashed([w for own in words for w in own]), np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(int)
+
+
+def windows(hashes: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all windows of k words, and which of them lie in one text."""
+    keys = rolling(hashes, k)
+    inside = np.ones(len(keys), bool)
+    for e in begins[1:-1].tolist():
+        inside[max(0, e - k + 1) : e] = False
+    return keys, inside
+
+
 def unit_of(doc_id: Column) -> Column:
     return F.coalesce(F.floor(doc_id / UNIT_DOCS), F.lit(-1)).cast("long")
 
@@ -132,25 +148,17 @@ def repeated(keyed: DataFrame, bits: int) -> DataFrame:
     return keyed.groupBy("shard").applyInPandas(shard, "unit long, shard int, keys binary")
 
 
-class Hits:
-    """Which of a unit's keys are among those that came back."""
-
-    def __init__(self, back: pd.DataFrame, shards: int, bits: int):
-        kind = "<u4" if bits == 30 else "<u8"
-        self.shards, self.bits = np.uint64(shards), np.uint64((1 << bits) - 1)
-        self.by = {int(s): np.frombuffer(b"".join(g), kind).astype(np.uint64) for s, g in back.groupby("shard")["keys"]}
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(keys), bool)
-        if self.by and len(keys):
-            shard = ((keys >> np.uint64(32)) * self.shards) >> np.uint64(32)
-            order = np.argsort(shard, kind="stable")
-            at = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) > 0, [True])))
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                rows = order[a:b]
-                if (own := self.by.get(int(shard[rows[0]]))) is not None:
-                    found[rows] = np.isin(keys[rows] & self.bits, own)
-        return found
+def among(keys: np.ndarray, back: pd.DataFrame, shards: int, bits: int) -> np.ndarray:
+    """Which keys are among those that came back to this unit."""
+    if not len(back) or not len(keys):
+        return np.zeros(len(keys), bool)
+    parts = [np.frombuffer(k, "<u4" if bits == 30 else "<u8").astype(np.uint64) for k in back["keys"]]
+    low = np.uint64((1 << bits) - 1)
+    if bits == 62:
+        return np.isin(keys & low, np.concatenate(parts))
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    named = [part | np.uint64(s << bits) for part, s in zip(parts, back["shard"].tolist(), strict=True)]
+    return np.isin(keys & low | shard << np.uint64(bits), np.concatenate(named))
 
 
 def spread(starts: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -158,7 +166,7 @@ def spread(starts: np.ndarray, n: int, length: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int32)
     at = np.flatnonzero(starts)
     edge[at] += 1
-    np.add.at(edge, np.minimum(at + length, n), -1)
+    edge[np.minimum(at + length, n)] -= 1
     return np.cumsum(edge[:n]) > 0
 
 
@@ -173,61 +181,64 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block = (window + 1) // 2
     n = shuffle_width(docs.sparkSession)
     shards = shards or n * SHARDS_PER_PARTITION
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), unit_of(F.col(id_col)).alias("unit"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), unit_of(F.col(id_col)).alias("unit"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, unit, keys, flags = Words(), None, [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found = list(to_shards(np.concatenate(keys), np.concatenate(flags), shards, 30)) if keys else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in found], pa.int32()), pa.array([unit] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())],
-                ["shard", "unit", "keys"],
-            )
-            keys.clear()
-            flags.clear()
-
         for b in batches:
-            for u, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if u != unit or sum(map(len, keys)) > 2_000_000:
-                    yield from flush()
-                    unit = u
-                keys.append(got := rolling(hashed(split(t.as_py())), block))
-                flags.append(np.arange(len(got)) % block == 0)
-        yield from flush()
+            units = b.column(0).to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(np.concatenate((units[1:] != units[:-1], [True]))) + 1 if len(units) else []
+            at = 0
+            for end in ends:
+                _, hashes, begins = gathered(b.column(1).slice(at, end - at).to_pylist())
+                keys, inside = windows(hashes, begins, block)
+                place = np.arange(len(keys)) - np.repeat(begins[:-1], np.diff(begins))[: len(keys)]
+                found = list(to_shards(keys[inside], (place % block == 0)[inside], shards, 30))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _ in found], pa.int32()), pa.array([units[at]] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())],
+                    ["shard", "unit", "keys"],
+                )
+                at = end
 
     anchors = repeated(rows.select("unit", "text").mapInArrow(probe, "shard int, unit long, keys binary"), 30)
 
     def extend(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        hashed, hits, keys = Words(), Hits(right, shards, 30), []
-        if hits.by:
-            for t in left["text"]:
-                w = hashed(split(t))
-                near = hits(rolling(w, block))
-                if near.any():
-                    whole = rolling(w, window)
-                    held = np.concatenate((np.zeros(1, int), np.cumsum(near)))
-                    keys.append(whole[held[window - block + 1 :][: len(whole)] > held[: len(whole)]])
-        found = list(to_shards(np.concatenate(keys), None, shards, 62)) if keys else []
-        unit = left["unit"].iloc[0] if len(left) else -1
+        found, unit = [], left["unit"].iloc[0] if len(left) else -1
+        if len(left) and len(right):
+            _, hashes, begins = gathered(left["text"].tolist())
+            keys, inside = windows(hashes, begins, block)
+            near = among(keys, right, shards, 30) & inside
+            whole, inside = windows(hashes, begins, window)
+            held = np.concatenate((np.zeros(1, int), np.cumsum(near)))
+            beside = held[window - block + 1 :][: len(whole)] > held[: len(whole)]
+            found = list(to_shards(whole[beside & inside], None, shards, 62))
         return pd.DataFrame({"shard": [s for s, _ in found], "unit": [unit] * len(found), "keys": [x for _, x in found]})
 
     def erase(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        hashed, hits, out = Words(), Hits(right, shards, 62), []
-        for t in left["text"]:
-            words = split(t)
-            gone = spread(hits(rolling(hashed(words), window)), len(words), window) if hits.by else np.zeros(len(words), bool)
-            kept = words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
+        if len(right):
+            words, hashes, begins = gathered(left["text"].tolist())
+            keys, inside = windows(hashes, begins, window)
+            lost = spread(among(keys, right, shards, 62) & inside, len(hashes), window)
+        else:
+            words = [split(t) for t in left["text"]]
+            begins = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(int)
+            lost = np.zeros(begins[-1], bool)
+        kept = [
+            own if not lost[a:b].any() else [w for w, g in zip(own, lost[a:b].tolist(), strict=True) if not g]
+            for own, a, b in zip(words, begins[:-1], begins[1:], strict=True)
+        ]
         return pd.DataFrame(
-            {"doc_id": left["doc_id"].astype("Int64"), "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept": [x[2] for x in out]}
+            {
+                "doc_id": left["doc_id"].astype("Int64"),
+                "n_words": [len(w) for w in words],
+                "n_removed": [len(w) - len(k) for w, k in zip(words, kept, strict=True)],
+                "kept": [b" ".join(k).decode("utf-8", "replace") for k in kept],
+            }
         )
 
     grouped = lambda: rows.repartition(n, "unit").groupBy("unit")  # noqa: E731  both uses share one exchange
     exact = repeated(
         grouped().cogroup(anchors.groupBy("unit")).applyInPandas(extend, "shard int, unit long, keys binary"), 62
     )
-    exact = cut(exact)
     return grouped().cogroup(exact.groupBy("unit")).applyInPandas(erase, "doc_id long, n_words long, n_removed long, kept string")
 
 
