@@ -49,6 +49,7 @@ SUBSTITUTE, LEAVE_OUT, SKIP_LOOK, REPEAT = 1.0, 0.5, 5.0, 0.5
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 EDGE = " \t.,;:?&%#*\"'`~()[]{}<>/\\=^_-–—…«»“”¡¿"
+DRAWN_OUT = re.compile(r"([^\W\d_])\1\1")
 PARTS = re.compile(r"[\W\d_]+")
 NOISY = re.compile(r"[^\W\d_][^a-z\s]*[\d@$!|+(€£.*_\-][^\s]*[^\W\d_]|^[\d@$!|+(€£]+[^\W\d_]{2}|[^\W\d_]{2}[@$!|0-9]+$|([^\W\d_])\1\1")
 
@@ -159,7 +160,8 @@ def tokens(text: str | None) -> list[str]:
     """Lower-case tokens; spelled-out runs are also joined."""
     text = (text or "").lower()
     out = text.split()
-    out += ["".join(m.split()) for m in SPELLED.findall(text)]
+    if sum(1 for n in map(len, out) if n == 1) > 2:
+        out += ["".join(m.split()) for m in SPELLED.findall(text)]
     return out
 
 
@@ -173,8 +175,8 @@ class Reader:
 
     def words(self, token: str) -> set[str]:
         w = core(token)
-        if w.isalpha() and not NOISY.search(w):
-            return {w}
+        if w.isalpha():
+            return {w, restore(w, self.model)} if DRAWN_OUT.search(w) else {w}
         parts = {x for x in PARTS.split(w) if x}
         return parts | {restore(w, self.model)} if parts and NOISY.search(w) else parts
 
