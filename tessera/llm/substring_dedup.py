@@ -19,7 +19,7 @@ bits in step 2.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -45,26 +45,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Words:
-    """64-bit hashes of words, the same in every process."""
-
-    def __init__(self, most: int = 1_000_000):
-        self.known, self.most = {}, most
+def split(text: bytes | None) -> list[bytes]:
+    """Words: runs of anything but the space and the characters from tab to carriage return."""
+    return (text or b"").split()
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest as digest
 
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """ODD and INVERSE to the powers below n at least."""
 
+    def made(n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.full(n, ODD), np.full(n, INVERSE)
+        up[0] = down[0] = 1
+        return np.cumprod(up), np.cumprod(down)
 
-def split(text: bytes | None) -> list[bytes]:
-    """Words: runs of anything but the space and the characters from tab to carriage return."""
-    return (text or b"").split()
+    kept = for_worker("powers", lambda: [made(1 << 16)])
+    if len(kept[0][0]) < n:
+        kept[0] = made(1 << (n - 1).bit_length())
+    return kept[0]
 
 
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
@@ -72,19 +69,32 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words)
     if n < k:
         return np.zeros(0, np.uint64)
-    up = np.ones(n, np.uint64)
-    down = np.ones(n, np.uint64)
-    up[1:], down[1:] = ODD, INVERSE
-    up, down = np.cumprod(up), np.cumprod(down)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up)))
+    up, down = powers(n + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:n])))
     return mixed((sums[k:] - sums[:-k]) * down[: n - k + 1] + np.uint64(k))
 
 
-def gathered(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words of each text, the hashes of all of them one after another, and where each text begins."""
-    words = [split(t) for t in texts]
-    hashed = for_worker("words", Words)
-    return words, hashed([w for own in words for w in own]), np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(int)
+def gathered(texts: list[bytes | None], piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts, one after another, and where each text begins among them.
+
+    A word's hash is a polynomial in its bytes, taken from running sums over some half a megabyte at a time."""
+    texts = [t or b"" for t in texts]
+    text = np.frombuffer(b"\n".join(texts), np.uint8)
+    inside = np.concatenate(([False], (text != 32) & ((text < 9) | (text > 13)), [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    hashes = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + piece)))
+        low, high = int(starts[at]), int(ends[to - 1])
+        up, down = powers(high - low + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low])))
+        a, b = starts[at:to] - low, ends[at:to] - low
+        hashes[at:to] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
+    offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    return hashes, np.searchsorted(starts, offsets)
 
 
 def windows(hashes: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +199,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ends = np.flatnonzero(np.concatenate((units[1:] != units[:-1], [True]))) + 1 if len(units) else []
             at = 0
             for end in ends:
-                _, hashes, begins = gathered(b.column(1).slice(at, end - at).to_pylist())
+                hashes, begins = gathered(b.column(1).slice(at, end - at).to_pylist())
                 keys, inside = windows(hashes, begins, block)
                 place = np.arange(len(keys)) - np.repeat(begins[:-1], np.diff(begins))[: len(keys)]
                 found = list(to_shards(keys[inside], (place % block == 0)[inside], shards, 30))
@@ -204,7 +214,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def extend(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found, unit = [], left["unit"].iloc[0] if len(left) else -1
         if len(left) and len(right):
-            _, hashes, begins = gathered(left["text"].tolist())
+            hashes, begins = gathered(left["text"].tolist())
             keys, inside = windows(hashes, begins, block)
             near = among(keys, right, shards, 30) & inside
             whole, inside = windows(hashes, begins, window)
@@ -214,23 +224,21 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"shard": [s for s, _ in found], "unit": [unit] * len(found), "keys": [x for _, x in found]})
 
     def erase(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        hashes, begins = gathered(left["text"].tolist())
+        lost = np.zeros(len(hashes), bool)
         if len(right):
-            words, hashes, begins = gathered(left["text"].tolist())
             keys, inside = windows(hashes, begins, window)
             lost = spread(among(keys, right, shards, 62) & inside, len(hashes), window)
-        else:
-            words = [split(t) for t in left["text"]]
-            begins = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(int)
-            lost = np.zeros(begins[-1], bool)
         kept = [
-            own if not lost[a:b].any() else [w for w, g in zip(own, lost[a:b].tolist(), strict=True) if not g]
-            for own, a, b in zip(words, begins[:-1], begins[1:], strict=True)
+            split(t) if not lost[a:b].any() else list(compress(split(t), (~lost[a:b]).tolist()))
+            for t, a, b in zip(left["text"], begins[:-1], begins[1:], strict=True)
         ]
+        n_words = np.diff(begins)
         return pd.DataFrame(
             {
                 "doc_id": left["doc_id"].astype("Int64"),
-                "n_words": [len(w) for w in words],
-                "n_removed": [len(w) - len(k) for w, k in zip(words, kept, strict=True)],
+                "n_words": n_words,
+                "n_removed": n_words - np.array([len(k) for k in kept], int),
                 "kept": [b" ".join(k).decode("utf-8", "replace") for k in kept],
             }
         )
