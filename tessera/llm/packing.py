@@ -16,7 +16,6 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 from math import ceil
-from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -63,27 +62,48 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        whole = [w for w in words if self.far(w)]
-        self.known.update(zip(whole, self.plain(whole), strict=True))
-        cut = {w: self.find(normalize("NFC", w).lower()) for w in words.difference(whole)}
+    def of_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts, which are encoded as one text and told apart by their word numbers."""
+        e = self.tok.encode(" ".join(parts), add_special_tokens=False)
+        ids, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
+        at = np.searchsorted(word, np.arange(len(parts) + 1)) * 4
+        return [ids[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def cut(self, word: str) -> list[str]:
+        if word.isalpha():
+            return [word]
+        if word[-1] in ".,;:?!" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.find(word)
+
+    def learn(self, words: set[str], far: set[str]) -> None:
+        """words: below U+0250, where NFC changes nothing, and in lower case; far: as they are."""
+        self.known.update(zip(far, self.plain(list(far)), strict=True))
+        cut = [(w, self.cut(w)) for w in words]
         if len(self.parts) > 2 * self.most:
             self.parts.clear()
-        new = list(set(chain.from_iterable(cut.values())).difference(self.parts))
-        for at in range(0, len(new), 20_000):
-            self.parts.update(zip(new[at : at + 20_000], self.plain(new[at : at + 20_000]), strict=True))
-        get = self.parts.__getitem__
-        for w, found in cut.items():
-            self.known[w] = b"".join(map(get, found))
+        new = list({part for _, found in cut for part in found}.difference(self.parts))
+        for at in range(0, len(new), 5_000):
+            self.parts.update(zip(new[at : at + 5_000], self.of_parts(new[at : at + 5_000]), strict=True))
+        parts, known = self.parts, self.known
+        for w, found in cut:
+            known[w] = parts[w] if len(found) == 1 else b"".join([parts[x] for x in found])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = []
+        pieces, far = [], set()
         for t in texts:
-            odd = any(c in t for c in self.ODD_SPACE)
-            pieces.append(None if odd else (t if self.far(t) else t.lower()).split())
+            if any(c in t for c in self.ODD_SPACE):
+                pieces.append(None)
+            elif self.far(t):
+                pieces.append([w if self.far(w) else w.lower() for w in t.split()])
+                far.update(filter(self.far, pieces[-1]))
+            else:
+                pieces.append(t.lower().split())
         if len(self.known) > self.most:
             self.known.clear()
-        self.learn(set(chain.from_iterable(p for p in pieces if p)).difference(self.known))
+        new = set(chain.from_iterable(p for p in pieces if p)).difference(self.known)
+        far &= new
+        self.learn(new - far, far)
         get = self.known.__getitem__
         return [
             np.frombuffer(b"".join(map(get, p)), "<u4") if p is not None else np.frombuffer(self.plain([t])[0], "<u4") for t, p in zip(texts, pieces, strict=True)
@@ -247,7 +267,7 @@ def pack(
         "doc_id", "doc_tokens", "rest_tokens", "rest", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("grp")
     )
     packed = rest.groupBy("grp").applyInPandas(run, schema)
-    full = rows.select("doc_id", "doc_tokens", F.monotonically_increasing_id().alias("row"), F.posexplode("full").alias("i", "crc"))
+    full = rows.select("doc_id", "doc_tokens", F.posexplode("full").alias("i", "crc"))
     full = full.select(
         "doc_id",
         (F.col("i").cast("long") * window).alias("start"),
