@@ -41,7 +41,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of whole texts.  White space never lies inside a token of this vocabulary, nor does a token reach over a
     border between letters, a digit and signs: what stands between white space is encoded once and remembered, and
-    so are its parts.  Both memories are of bounded size."""
+    so are its parts.  Both memories are of bounded size.  Texts that spell out one of the tokenizer's added tokens, which
+    it takes from raw text before it cuts, are encoded whole."""
 
     ODD_SPACE = tuple("\x1c\x1d\x1e\x1f")  # these split for Python only
     # Fixed value: the vocabulary's own cut into parts; used below U+0250, where no Unicode version differs.
@@ -55,6 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
+        self.whole = (*self.ODD_SPACE, *(a.content for a in self.tok.get_added_tokens_decoder().values()))
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.find, self.far = regex.compile(self.PARTS).findall, re.compile("[^\x00-\u024f]").search
@@ -92,7 +94,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         pieces, far = [], set()
         for t in texts:
-            if any(c in t for c in self.ODD_SPACE):
+            if any(c in t for c in self.whole):
                 pieces.append(None)
             elif self.far(t):
                 pieces.append([w if self.far(w) else w.lower() for w in t.split()])

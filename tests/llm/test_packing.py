@@ -49,6 +49,16 @@ def test_encoder_equals_the_tokenizer():
         assert x.tolist() == encode.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_taken_from_raw_text():
+    texts = ["rain <|endoftext|> harbour", "rain<|endoftext|>harbour", "<|startoftext|><|endoftext|>'s 3x", "<|ENDOFTEXT|> <|endoftext|>", "<|EndOfText|>"]
+    texts += ["é<|endoftext|>É 日<|startoftext|>b", "日 <|StartOfText|>", "< |endoftext| >", "\n<|startoftext|>\tA", "<|endoftext|", "plain words"]
+    encode = P.Encoder(P.tokenizer_path())
+    for _ in range(2):  # the second time from memory
+        for x, t in zip(encode(texts), texts, strict=True):
+            assert x.tolist() == encode.tok.encode(t, add_special_tokens=False).ids
+    assert encode(texts[:1])[0].tolist() == [2443, 49407, 10011]
+
+
 def test_pack_group_uses_combinations_and_leaves_little_padding():
     rng = np.random.default_rng(3)
     lengths = np.concatenate([rng.choice([512, 1536, 1024, 700], 400), rng.integers(1, 2048, 200)])
