@@ -2,9 +2,10 @@
 
 1. Language model: the letters-only words of all texts are counted by a shuffle (the word table grows with
    the input); their character trigrams go to a table of fixed size, SYMBOLS ** 3.
-2. Channel: a token that holds digits, signs or drawn-out letters among its letters becomes a lattice: a sign
+2. Channel: a token that holds a digit, a sign or a doubled letter becomes a lattice: a sign
    stands for the letters it resembles or for nothing, a repeated letter may be dropped.  Spelled-out
-   runs ("b a d") are joined to one token first.  Viterbi search finds the likeliest word under the model.
+   runs ("b a d") are joined to one token first, with and without one-letter words at their ends.  Viterbi search
+   finds the likeliest word under the model.
 3. Score: the restored words' whole forms and prefixes, weighed by how much more often labelled toxic
    texts hold them (a lower bound of the log odds), feed a logistic regression.  It is fitted to inputs from which
    each text's own counts are left out, so that words of a single text do not count as signs.
@@ -19,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +49,12 @@ LOOKS = {
 SUBSTITUTE, LEAVE_OUT, SKIP_LOOK, REPEAT = 1.0, 0.5, 5.0, 0.5
 
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
-SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+SIGNS = {sign: [(CODE[c], c) for c in letters] for sign, letters in LOOKS.items()}
+SPELLED = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
+ONE_LETTER = "aeiouyàáèéêíòóúnr"  # Fixed value: letters that are words by themselves, chat's among them
 EDGE = " \t.,;:?&%#*\"'`~()[]{}<>/\\=^_-–—…«»“”¡¿"
-DRAWN_OUT = re.compile(r"([^\W\d_])\1\1")
 PARTS = re.compile(r"[\W\d_]+")
-NOISY = re.compile(r"[^\W\d_][^a-z\s]*[\d@$!|+(€£.*_\-][^\s]*[^\W\d_]|^[\d@$!|+(€£]+[^\W\d_]{2}|[^\W\d_]{2}[@$!|0-9]+$|([^\W\d_])\1\1")
+NOISY = re.compile(r"[\W\d_]|([^\W\d_])\1")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -99,6 +102,10 @@ class CharModel:
 
     table: np.ndarray
 
+    @cached_property
+    def flat(self) -> list[float]:
+        return self.table.ravel().tolist()
+
     @classmethod
     def of(cls, counts: np.ndarray) -> CharModel:
         three = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
@@ -131,29 +138,38 @@ def char_model(words: DataFrame) -> CharModel:
 
 def restore(token: str, model: CharModel) -> str:
     """The likeliest word behind a lower-case token: Viterbi search over its lattice."""
-    table = model.table
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for i, ch in enumerate(token):
-        edges = []
+    flat = model.flat
+    best = {0: (0.0, "")}  # a state is the last two symbols
+    before = ""
+    for ch in token:
         if ch.isalpha():
-            edges.append((ch, 0.0))
-            if i and token[i - 1] == ch:
-                edges.append(("", REPEAT))
+            edges, cost, drop = [(CODE.get(ch, OTHER), ch)], 0.0, REPEAT if ch == before else None
         else:
-            edges += [(c, SUBSTITUTE) for c in LOOKS.get(ch, "")]
-            edges.append(("", SKIP_LOOK if ch in LOOKS else LEAVE_OUT))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (p, q), (score, word) in best.items():
-            for c, cost in edges:
-                if c:
-                    k = CODE.get(c, OTHER)
-                    state, s, w = (q, k), score + float(table[p, q, k]) - cost, word + c
-                else:
-                    state, s, w = (p, q), score - cost, word
+            edges = SIGNS.get(ch, ())
+            cost, drop = SUBSTITUTE, SKIP_LOOK if edges else LEAVE_OUT
+        before = ch
+        after: dict[int, tuple[float, str]] = {}
+        for state, (score, word) in best.items():
+            for k, c in edges:
+                s, to = score + flat[state * SYMBOLS + k] - cost, state % SYMBOLS * SYMBOLS + k
+                if to not in after or s > after[to][0]:
+                    after[to] = (s, word + c)
+            if drop is not None:
+                s = score - drop
                 if state not in after or s > after[state][0]:
-                    after[state] = (s, w)
+                    after[state] = (s, word)
         best = after
-    return max(((s + float(table[p, q, 0]), w) for (p, q), (s, w) in best.items()), default=(0.0, ""))[1]
+    return max(((s + flat[state * SYMBOLS], w) for state, (s, w) in best.items()), default=(0.0, ""))[1]
+
+
+def joined(run: str) -> list[str]:
+    """A spelled-out run as one word, also without the one-letter words that it may begin or end with."""
+    word = "".join(run.split())
+    begin, end = len(word) - len(word.lstrip(ONE_LETTER)), len(word.rstrip(ONE_LETTER))
+    if begin == len(word):
+        return [word]
+    ends = [(i, j) for i in range(begin + 1) for j in {len(word), end}] + [(0, j) for j in range(end + 1, len(word))]
+    return [word[i:j] for i, j in ends if (i, j) == (0, len(word)) or j - i >= 3]
 
 
 def tokens(text: str | None) -> list[str]:
@@ -161,24 +177,31 @@ def tokens(text: str | None) -> list[str]:
     text = (text or "").lower()
     out = text.split()
     if sum(1 for n in map(len, out) if n == 1) > 2:
-        out += ["".join(m.split()) for m in SPELLED.findall(text)]
+        out += [w for m in SPELLED.findall(text) for w in joined(m)]
     return out
 
 
 class Reader:
-    """Token to feature keys, through the channel where a token is noisy."""
+    """Token to feature keys, through the channel where a token is noisy; restored words are kept in bounded memory."""
 
-    def __init__(self, model: CharModel):
+    def __init__(self, model: CharModel, most: int = 200_000):
         from xxhash import xxh3_64_intdigest
 
+        self.restored: dict[str, str] = {}
+        self.most = most
         self.model, self.key = model, lambda s: xxh3_64_intdigest(s) >> 1
 
     def words(self, token: str) -> set[str]:
         w = core(token)
-        if w.isalpha():
-            return {w, restore(w, self.model)} if DRAWN_OUT.search(w) else {w}
-        parts = {x for x in PARTS.split(w) if x}
-        return parts | {restore(w, self.model)} if parts and NOISY.search(w) else parts
+        parts = {w} if w.isalpha() else {x for x in PARTS.split(w) if x}
+        # Of fewer than three letters and look-alikes comes no word of three, and no shorter one is a feature.
+        if not NOISY.search(w) or sum(c.isalpha() or c in LOOKS for c in w) < 3:
+            return parts
+        if w not in self.restored:
+            if len(self.restored) >= self.most:
+                self.restored.clear()
+            self.restored[w] = restore(w, self.model)
+        return parts | {self.restored[w]}
 
     def __call__(self, token: str) -> list[int]:
         found = []

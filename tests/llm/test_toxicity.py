@@ -34,6 +34,19 @@ def test_channel_restores_words(spark):
     assert X.core("fine!!!") == "fine" and X.core("'quoted,'") == "quoted"
 
 
+def test_every_form_of_the_channel_is_decoded(spark):
+    docs = spark.createDataFrame([(i, "stupid idiot moron loser scum the and of") for i in range(20)], "doc_id long, text string")
+    reader = X.Reader(X.char_model(X.word_counts(docs)))
+    forms = [("idiot", "1d107 1d!07 iidioott"), ("loser", "1053r 10$3r"), ("scum", "5cum"), ("stupid", "stuupid stupiid"), ("moron", "mmoorroonn")]
+    for word, noisy in forms:
+        for token in noisy.split():
+            assert word in reader.words(token), token
+    assert "scut" in reader.words("scu+") and reader.words("plain") == {"plain"} and reader.words("--") == set()
+    for text in ("you i  d\ni o\t t there", "a i d i o t", "i d i o t y", "you u a i d i o t a end"):
+        assert "idiot" in X.tokens(text), text
+    assert X.tokens("a i o") == ["a", "i", "o", "aio"]
+
+
 def test_disguised_words_are_caught_and_clean_texts_left(spark):
     docs, labels = corpus(spark)
     more = [(1000, "rantel mor gruuumlet dunkel f00zle sipvot"), (1001, "rantel g.r.u.m.l.e.t f o o z l e limlim sn4rkle"), (1002, "rantel mordun sipvot limlim"), (1003, ""), (1004, None), (None, "telmor dunkel")]
