@@ -7,7 +7,7 @@
 3. Projected-gradient least squares finds rates r >= 0 such that the expected tokens of each domain, the sum over
    documents of rate x tokens x posterior, match the targets.  A step needs the domain totals alone, which tasks
    sum and the driver adds: the rates themselves stay with the documents, as a function of the steps so far.
-4. A document is taken floor(rate) times, and once more if a hash of its id falls below the rest of its rate.
+4. A document is taken floor(rate) times, and once more if a hash of its row falls below the rest of its rate.
 
 The text's evidence is tempered by its length, so that a long text does not silence the tag.
 """
@@ -160,9 +160,9 @@ def solved(known: DataFrame, target: np.ndarray, steps: int = STEPS, close: floa
     return pulls
 
 
-def draw(doc_id: Column, rate: Column) -> Column:
-    """How often a document is taken: its rate, rounded down or up by a hash of its id."""
-    u = F.pmod(F.xxhash64(doc_id, F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+def draw(key: Column, rate: Column) -> Column:
+    """How often a row is taken: its rate, rounded down or up by a hash of its key."""
+    u = F.pmod(F.xxhash64(key, F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("long")
 
 
@@ -181,7 +181,8 @@ def mixed(
     target: shares of tokens by domain, for all domains named there; by default each domain's present tokens raised to
     the power `flatten`, which lifts small domains.  Shares are scaled to the tokens that docs has; a domain without
     documents stays empty.  Tokens are words between white space.
-    Nulls: null texts are empty; a null domain is unknown, and the text alone decides; null ids share one draw.
+    Nulls: null texts are empty; a null domain is unknown, and the text alone decides.  Every row has a draw of its own, by its id, text
+    and place in the table, so rows with null or repeated ids are rounded one by one.
     Empty texts have no tokens and the posterior of their tag.  Repeated rows are rated alike.  Empty tables give
     empty results.  Other columns are not read.
     """
@@ -192,7 +193,8 @@ def mixed(
     if not names:
         tokens = F.size(F.filter(F.split(F.col("text").cast("string"), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).cast("long")
         return rows.select("doc_id", "domain", F.greatest(tokens, F.lit(0)).alias("n_tokens"), F.lit(1.0).alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
-    known = cut(posteriors(rows, names, learned(rows, names, max_labelled)))
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))
+    known = cut(posteriors(keyed, names, learned(rows, names, max_labelled)))
     present = known.groupBy("domain").agg(F.sum("tokens").alias("tokens")).toPandas()
     total = float(present["tokens"].sum())
     now = {d: float(n) for d, n in zip(present["domain"], present["tokens"], strict=True) if d is not None}
@@ -205,7 +207,15 @@ def mixed(
             domain = b.column("domain").to_pylist()
             p = b.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(place)).astype(float)
             own = np.array([q[place[d]] if d in place else q.max() for q, d in zip(p, domain, strict=True)], float)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("domain"), b.column("tokens"), pa.array(own), pa.array(rates(p, pulls))], ["doc_id", "domain", "n_tokens", "posterior", "rate"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("domain"), b.column("tokens"), pa.array(own), pa.array(rates(p, pulls)), b.column("key")], ["doc_id", "domain", "n_tokens", "posterior", "rate", "key"])
 
-    rated = known.mapInArrow(run, "doc_id long, domain string, n_tokens long, posterior double, rate double")
-    return rated.withColumn("copies", draw(F.col("doc_id"), F.col("rate")))
+    rated = known.mapInArrow(run, "doc_id long, domain string, n_tokens long, posterior double, rate double, key long")
+    return rated.withColumn("copies", draw(F.col("key"), F.col("rate"))).drop("key")
+
+
+def taken(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as its own copies in mixed() say, whatever its id.  Columns called mix_row or mix_copy are dropped."""
+    rows = cut(docs.drop("mix_row", "mix_copy").withColumn("mix_row", F.monotonically_increasing_id()))
+    copies = mixed(rows, id_col="mix_row", **how).where("copies > 0").select(F.col("doc_id").alias("mix_row"), "copies")
+    copies = copies.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("mix_copy"))
+    return rows.join(copies, "mix_row").drop("mix_row", "mix_copy")

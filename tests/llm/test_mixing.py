@@ -48,3 +48,17 @@ def test_default_mix_lifts_small_sources(spark):
     by = got.assign(t=got.n_tokens * got.rate).groupby("domain")[["n_tokens", "t"]].sum()
     assert abs(by.t.sum() - by.n_tokens.sum()) < 0.01 * by.n_tokens.sum()
     assert by.t.std() < by.n_tokens.std()
+
+
+def test_rows_without_ids_are_taken_by_their_own_rates(spark):
+    import corpus_pipeline as C
+
+    rows = [(None if i % 3 else 7, f"apple pear {i} plum " * 10 if i % 4 else f"iron zinc {i} lead " * 10, "fruit" if i % 4 else "metal") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rate = M.mixed(df).groupBy("domain").agg(F.sum("rate").alias("rate"), F.sum("copies").alias("copies")).collect()
+    out = C.mix_sources(spark, df, "")
+    assert out.columns == df.columns and out.join(df, df.columns, "left_anti").where("doc_id is not null").count() == 0
+    got = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert {r.domain for r in rate} == {"fruit", "metal"}
+    for r in rate:
+        assert abs(got[r.domain] - r.rate) < 50 and abs(r.copies - r.rate) < 50
