@@ -8,8 +8,11 @@ from ..conftest import MID
 LONG = "The ferry crosses the strait four times a day, and on market days it carries more goats than passengers."
 
 
+TREE = H.trained()
+
+
 def text(html):
-    return H.main_text(html, H.trained())
+    return H.main_text(html, TREE)
 
 
 def test_boilerplate_goes_and_the_article_stays():
@@ -27,6 +30,42 @@ def test_last_block_and_pages_without_landmarks():
     assert text(f"<div><a href=/a>Menu</a> <a href=/b>More</a></div><div><p>{LONG} {LONG}</p><p>{LONG}</p></div>") == f"{LONG} {LONG}\n{LONG}"
 
 
+def test_names_and_attributes_are_taken_whole():
+    article = f"<h1>Sea</h1><p>{LONG}</p>"
+    for page in (
+        f"<html class='no-js nav'><body class='single-post has-sidebar comments-open'><article>{article}</article>",
+        f"<article id='post-legal-notice'>{article}</article>",
+        f"<article data-id='search'>{article}</article>",
+        f"<article><div data-hidden='false'>{article}</div></article>",
+        f"<article><div class='has-share-count notice-period'>{article}</div></article>",
+        f"<article class='post entry'>{article}<article class='comment'><p>{LONG}</p></article><div class='commentList'>{LONG}</div></article>",
+        f"<article>{article}<div class='related-posts share_buttons'>{LONG}</div><p hidden>{LONG}</p><p style='display: none'>{LONG}</p></article>",
+    ):
+        assert text(page) == f"Sea\n{LONG}", page
+    assert text(f"<article><p>Say <label>when</label> and <svg><title>no</title><text>how</text></svg> <math><mi>x</mi></math> <button>Go</button>now.</p></article>") == "Say when and how x now."
+
+
+def test_the_tree_asks_words_and_links_of_a_block_and_its_neighbours():
+    names = H.asked(TREE)
+    assert {"words", "link_density"} <= names and names & {"words_before", "words_after"} and names & {"links_before", "links_after"}
+    blocks = [(b, row) for page in map(H.blocks_of, H.labelled_pages()) for b, row in zip(page, H.features_of(page), strict=True)]
+    wrong = sum(H.kept(TREE, row) != b.keep for b, row in blocks[::50])
+    assert wrong <= len(blocks[::50]) // 100
+
+
+def test_pages_without_landmarks_are_told_by_text():
+    page = f"""<div>Harbour Post</div><div>News since 1901</div><div><a href=/a>Home</a> <a href=/b>Sport</a></div>
+    <h1>Goats at sea</h1><div>{LONG} {LONG}</div><div>Not all of them swim.</div><div>{LONG} <a href=/c>More</a>.</div><div>{LONG}</div>
+    <div><a href=/n>Next story</a></div><div>All rights</div><div><a href=/i>Imprint</a></div>"""
+    assert text(page) == f"Goats at sea\n{LONG} {LONG}\nNot all of them swim.\n{LONG} More.\n{LONG}"
+
+
+def test_given_pages_without_the_names(spark):
+    tree = H.trained(without=("hint",))
+    for r in spark.read.parquet(f"{MID}/pages.parquet").collect():
+        assert H.main_text(r.html, tree) == H.main_text(r.html, TREE) != ""
+
+
 def test_odd_markup():
     for page in (None, "", "<", "<p", "a < b", "<!-- open", "<script>never closed <p>x", "<article><p>" * 500, "</div></p>", "<p class='x>y", "&#0;&#xD800;&bad;"):
         assert isinstance(text(page), str)
