@@ -38,6 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, lengthened where a column of that name, in any case, is there already."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def for_worker(name: str, make: Callable):
     """make(), once for each Python worker: functions travel by value, so their own globals end with a task."""
     kept = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__
@@ -46,6 +58,15 @@ def for_worker(name: str, make: Callable):
     return kept[name]
 
 
+def latest_for_worker(name: str, key: str, make: Callable):
+    """make(), once for each Python worker and key; only the latest key's object is kept."""
+    kept = for_worker(name, dict)
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
