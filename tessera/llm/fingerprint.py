@@ -1,15 +1,19 @@
 """Document fingerprints by invertible Bloom lookup sketches (operator 5): DataFrame functions only.
 
 A text is a set of paragraph digests: each line gives its first HEAD code points and then pieces of PIECE, so that
-an edit changes the pieces after it on its own line alone.  Every digest is added to one cell in each of
-TABLES tables of CELLS cells; a cell holds the count of its digests, their XOR, and the XOR of their checks.
-
-Two versions are compared by subtracting cell from cell: common digests vanish, and peeling recovers the others.
-A cell that holds one digest alone is read, and the digest is taken out of its other cells, round by round.
-Where peeling gets stuck, the comparison is retried with larger sketches: as many blocks of cells as the sizes of
-the two sets ask for, each digest in one block by another hash.  Should the second retry, larger again, get stuck too,
-the digest sets are compared as they are, so the recovered digests are always the true difference.
-The likeness is 2 |A and B| / (|A| + |B|).
+an edit changes the pieces after it on its own line alone.  The digests are dealt by hash to blocks of LOAD at most on average, a
+power of two of them.  In a block every digest is added to one cell in each of TABLES tables; a cell holds the
+count of its digests, their XOR, and the XOR of their checks.
+
+Peeling reads a cell that holds one digest alone, takes the digest out of its other cells, and goes on round by
+round.  A block is published with CELLS cells a table; where it doesn't peel alone, it is published again with
+twice as many and another hash, and so on.  A fingerprint thus tells its digests, whatever it is compared with.
+
+Two versions are compared block by block: that of fewer blocks is dealt anew to as many as the other's; cell
+is subtracted from cell, common digests vanish, and peeling recovers the others.  Where it gets stuck, the block is
+retried with the next size.  The likeness is 2 |A and B| / (|A| + |B|), from what the fingerprints hold alone.
+
+Digests are rows while they are dealt, so work and memory grow in proportion to a text's length.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import shuffle_width
 
 HEAD, PIECE = 16, 256
-TABLES, CELLS = 4, 10
-BLOCK_CELLS = 6  # a table in each block of a retry
-LOADS = (6, 3)  # digests a block, on average, in the first and the second retry
+TABLES = 4
+LOAD = 20
+CELLS, RETRIES = 10, 5  # cells of a table, doubled with each retry
+STUCK = "a block does not peel at any size"  # no set of digests that a hash could deal here gets stuck six times
 BUCKETS_PER_PARTITION = 4
 
 
@@ -38,18 +43,23 @@ def digests(text: Column) -> Column:
 
 
 def check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit("check"))
+    return F.xxhash64(digest, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def item(digest: Column, sign: Column, salt: int, cells: int) -> Column:
-    """A digest as a cell of its own, with its place in each table."""
+def item(digest: Column, sign: Column, size: Column) -> Column:
+    """A digest as a cell of its own, with its place in each table; every size has hashes of its own."""
     made = lambda h: F.struct(
         sign.alias("n"),
         digest.alias("k"),
         check(digest).alias("c"),
-        *[(F.shiftrightunsigned(h, 16 * t).bitwiseAND(F.lit(0xFFFF)) % cells).cast("int").alias(f"at{t}") for t in range(TABLES)],
+        *[(F.shiftrightunsigned(h, 16 * t).bitwiseAND(F.lit(0xFFFF)) % width(size)).cast("int").alias(f"at{t}") for t in range(TABLES)],
     )
-    return bound(F.xxhash64(digest, F.lit(f"place {salt}")), made)
+    return bound(F.xxhash64(digest, size.cast("long")), made)
+
+
+def width(size: Column) -> Column:
+    """Cells of a table, by the number of the size."""
+    return F.lit(CELLS) * F.pow(F.lit(2.0), size.cast("double")).cast("int")
 
 
 def added(cell: Column, more: Column, sign: int) -> Column:
@@ -58,143 +68,162 @@ def added(cell: Column, more: Column, sign: int) -> Column:
     )
 
 
-def no_cells(cells: int) -> Column:
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    return F.array_repeat(zero, TABLES * cells)
-
-
-def into(sketch: Column, some: Column, sign: int, cells: int) -> Column:
+def into(sketch: Column, found: Column, sign: int, size: Column) -> Column:
     """A sketch after some items are added (sign 1) or taken out (sign -1)."""
 
-    def one(found: Column, t: int) -> Column:
+    def one(t: int) -> Column:
         return F.transform(
-            F.slice(sketch, t * cells + 1, cells),
+            F.slice(sketch, t * width(size) + 1, width(size)),
             lambda cell, j: F.aggregate(F.filter(found, lambda x: x[f"at{t}"] == j), cell, lambda acc, x: added(acc, x, sign)),
         )
 
-    return bound(some, lambda found: F.concat(*[one(found, t) for t in range(TABLES)]))
+    return F.concat(*[one(t) for t in range(TABLES)])
 
 
-def sketch(found: Column) -> Column:
+def sketch(found: Column, size: Column) -> Column:
     """The cells of a set of digests."""
-    return into(no_cells(CELLS), F.transform(found, lambda d: item(d, F.lit(1), 0, CELLS)), 1, CELLS)
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    items = F.transform(found, lambda d: item(d, F.lit(1), size))
+    return bound(items, lambda some: into(F.array_repeat(zero, TABLES * width(size)), some, 1, size))
 
 
 def as_string(cells: Column) -> Column:
-    cell = lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["c"]), 16, "0"))
+    cell = lambda c: F.concat(F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["c"]), 8, "0"))
     return F.base64(F.unhex(F.array_join(F.transform(cells, cell), "")))
 
 
-def peeled(difference: Column, salt: int, cells: int) -> Column:
+def peeled(difference: Column, size: Column) -> Column:
     """The digests left in a difference of sketches: struct(done, a, b); a: of the first version, b: of the second."""
     none = F.array().cast("array<bigint>")
     start = F.struct(difference.alias("cells"), none.alias("a"), none.alias("b"), F.lit(False).alias("stop"))
 
     def step(acc: Column, _: Column) -> Column:
         lone = F.array_distinct(F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == check(c["k"]))))
-        read = F.transform(lone, lambda c: item(c["k"], c["n"], salt, cells))
+        read = F.transform(lone, lambda c: item(c["k"], c["n"], size))
         keys = lambda found, s: F.transform(F.filter(found, lambda x: x["n"] == s), lambda x: x["k"])
-        on = lambda found: F.when(F.size(found) == 0, F.struct(acc["cells"].alias("cells"), acc["a"].alias("a"), acc["b"].alias("b"), F.lit(True).alias("stop"))).otherwise(
-            F.struct(
-                into(acc["cells"], found, -1, cells).alias("cells"),
-                F.concat(acc["a"], keys(found, 1)).alias("a"),
-                F.concat(acc["b"], keys(found, -1)).alias("b"),
-                F.lit(False).alias("stop"),
-            )
+        on = lambda found: F.struct(
+            F.when(F.size(found) == 0, acc["cells"]).otherwise(into(acc["cells"], found, -1, size)).alias("cells"),
+            F.concat(acc["a"], keys(found, 1)).alias("a"),
+            F.concat(acc["b"], keys(found, -1)).alias("b"),
+            (F.size(found) == 0).alias("stop"),
         )
         return F.when(acc["stop"], acc).otherwise(bound(read, on))
 
-    rounds = F.sequence(F.lit(1), F.lit(TABLES * cells))  # each round but the last reads a digest; it stops earlier
+    rounds = F.sequence(F.lit(1), TABLES * width(size))  # each round but the last reads a digest; it stops earlier
     end = lambda acc: F.struct(
         F.forall(acc["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)).alias("done"), acc["a"].alias("a"), acc["b"].alias("b")
     )
     return F.aggregate(rounds, start, step, end)
 
 
-def retried(a: Column, b: Column, load: int, salt: int) -> Column:
-    """Peeling with a block of cells for each `load` digests."""
-    blocks = F.ceil((F.size(a) + F.size(b)) / load).cast("int")
-    block = lambda d: F.pmod(F.xxhash64(d, F.lit(f"block {salt}")), blocks).cast("int")
-    placed = lambda found, sign: F.transform(found, lambda d: F.struct(block(d).alias("block"), item(d, F.lit(sign), salt, BLOCK_CELLS).alias("item")))
-    in_block = lambda found, i: F.transform(F.filter(found, lambda x: x["block"] == i), lambda x: x["item"])
-    each = bound(
-        F.concat(placed(a, 1), placed(b, -1)),
-        lambda found: F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: peeled(into(no_cells(BLOCK_CELLS), in_block(found, i), 1, BLOCK_CELLS), salt, BLOCK_CELLS)),
-    )
-    return F.aggregate(
-        each,
-        F.struct(F.lit(True).alias("done"), F.array().cast("array<bigint>").alias("a"), F.array().cast("array<bigint>").alias("b")),
-        lambda acc, x: F.struct((acc["done"] & x["done"]).alias("done"), F.concat(acc["a"], x["a"]).alias("a"), F.concat(acc["b"], x["b"]).alias("b")),
-    )
+def published(found: Column) -> Column:
+    """A block's cells as text, of every size up to the first with which they peel."""
+
+    def step(acc: Column, size: Column) -> Column:
+        more = lambda cells: F.struct(F.concat(acc["text"], F.array(as_string(cells))).alias("text"), peeled(cells, size)["done"].alias("done"))
+        return F.when(acc["done"], acc).otherwise(bound(sketch(found, size), more))
+
+    start = F.struct(F.array().cast("array<string>").alias("text"), F.lit(False).alias("done"))
+    text = lambda acc: F.when(acc["done"], F.array_join(acc["text"], ":")).otherwise(F.raise_error(F.lit(STUCK)))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), start, step, text)
 
 
-def compared(df: DataFrame, name: str, a: str, a_cells: str, b: str, b_cells: str) -> DataFrame:
-    """df with `name`, struct(a, b): the digests that only one of the versions has."""
-    df = df.withColumn(name, peeled(F.zip_with(a_cells, b_cells, lambda x, y: added(x, y, -1)), 0, CELLS))
-    for salt, load in enumerate(LOADS, 1):
-        df = df.withColumn(name, F.when(F.col(name)["done"], F.col(name)).otherwise(retried(F.col(a), F.col(b), load, salt)))
-    plain = F.struct(F.array_except(a, b).alias("a"), F.array_except(b, a).alias("b"))
-    return df.withColumn(name, F.when(F.col(name)["done"], F.struct(F.col(name)["a"].alias("a"), F.col(name)["b"].alias("b"))).otherwise(plain))
+def difference(a: Column, b: Column) -> Column:
+    """struct(size, a, b): the digests of only one of two versions of a block, and the size that told them."""
 
+    def step(acc: Column, size: Column) -> Column:
+        cells = F.zip_with(sketch(a, size), sketch(b, size), lambda x, y: added(x, y, -1))
+        got = lambda x: F.struct(size.alias("size"), x["done"].alias("done"), x["a"].alias("a"), x["b"].alias("b"))
+        return F.when(acc["done"], acc).otherwise(bound(peeled(cells, size), got))
+
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).alias("size"), F.lit(False).alias("done"), none.alias("a"), none.alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), start, step, lambda acc: F.when(acc["done"], acc).otherwise(F.raise_error(F.lit(STUCK))))
 
-def likeness(a: str, b: str, difference: str) -> Column:
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, 1.0).otherwise((total - F.size(F.col(difference)["a"]) - F.size(F.col(difference)["b"])) / total)
+
+def blocks_for(found: Column) -> Column:
+    """How many blocks a set of digests takes: a power of two."""
+    return F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(F.size(found), F.lit(1)) / float(LOAD))).cast("double"))).cast("int")
 
 
 def with_next(docs: DataFrame, order: str, value: str) -> DataFrame:
-    """docs (order, value) with `next`, the value of the next row in ascending order; after the last comes the first.
+    """docs (order, value) with `range` and `next`, the value of the next row in ascending order; after the last comes the first.
 
-    Rows are dealt to ranges of the order, whose bounds are approximate quantiles; a range's first row also goes to the
-    end of the range before.  Nulls come first, rows of equal order follow by the hash of their value.
+    Rows are dealt to ranges of (order, hash of the value, a random number), so that no value of the order, null included, is
+    too much for one range; a range's first row also goes to the end of the range before.  Nulls come first.
     """
-    spark = docs.sparkSession
-    n = BUCKETS_PER_PARTITION * shuffle_width(spark)
-    at = [i / n for i in range(1, n)]
-    bounds = docs.agg(F.percentile_approx(order, F.array(*map(F.lit, at)), F.lit(50 * n)).alias("b")).first()["b"] or []
-    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<bigint>")
-    rows = docs.withColumns(
-        {"range": F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(order))), F.lit(0)), "tie": F.xxhash64(value), "copy": F.lit(0)}
-    )
-    rows = rows.withColumn("range", F.when(F.col(order).isNull(), 0).otherwise(F.col("range")))
+    n = BUCKETS_PER_PARTITION * shuffle_width(docs.sparkSession)
     known = F.coalesce(F.col(order), F.lit(-(1 << 63)))
-    low = rows.groupBy("range").agg(F.min(known).alias("low"))  # a row for each range at most
+    rows = docs.withColumn("at", F.struct(known.alias("o"), F.xxhash64(value).alias("t"), F.xxhash64(F.monotonically_increasing_id()).alias("s")))
+    ends = rows.select("at").repartitionByRange(n, "at").groupBy(F.spark_partition_id()).agg(F.min("at").alias("b")).collect()  # n rows at most
+    bounds = sorted(r["b"] for r in ends)[1:]
+    step = max(1, int(len(bounds) ** 0.5))
+    value_of = lambda b: F.struct(F.lit(b[0]).cast("long").alias("o"), F.lit(b[1]).cast("long").alias("t"), F.lit(b[2]).cast("long").alias("s"))
+    if bounds:
+        # every step-th bound is looked at first, then those between two of them
+        pages = F.array(*[F.array(*map(value_of, bounds[i : i + step])) for i in range(0, len(bounds), step)])
+        heads_of = F.array(*[value_of(b) for b in bounds[::step]])
+        page = F.size(F.filter(heads_of, lambda b: b <= F.col("at")))
+        inside = F.size(F.filter(F.get(pages, F.col("page") - 1), lambda b: b <= F.col("at")))
+        rows = rows.withColumn("page", page).withColumn("range", F.when(F.col("page") == 0, 0).otherwise((F.col("page") - 1) * step + inside)).drop("page")
+    else:
+        rows = rows.withColumn("range", F.lit(0))
+    rows = rows.withColumn("copy", F.lit(0))
+    low = rows.groupBy("range").agg(F.min_by(F.struct(order, value), "at").alias("head"))  # a row for each range at most
     around = Window.orderBy("range")
-    low = low.withColumn("before", F.coalesce(F.lag("range").over(around), F.max("range").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    heads = rows.join(F.broadcast(low), "range").where(known == F.col("low"))
-    first = Window.partitionBy("range").orderBy("tie")
-    heads = heads.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(order, value, F.col("before").alias("range"), "tie", F.lit(1).alias("copy"))
-    dealt = rows.unionByName(heads).repartition("range")
-    along = Window.partitionBy("range").orderBy("copy", F.col(order).asc_nulls_first(), "tie")
-    return dealt.withColumn("next", F.lead(value).over(along)).where("copy = 0").drop("range", "tie", "copy")
+    before = F.coalesce(F.lag("range").over(around), F.max("range").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = low.select(F.col(f"head.{order}").alias(order), F.col(f"head.{value}").alias(value), before.alias("range"), F.lit(1).alias("copy"))
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition("range")
+    along = Window.partitionBy("range").orderBy("copy", "at")
+    return dealt.withColumn("next", F.lead(value).over(along)).where("copy = 0").drop("at", "copy")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    and edited_only, the digests peeled out of the comparison with the edited text that the text itself lacks.
+    edited_only, how many digests were peeled out of the comparison with the edited text that the text itself lacks, and
+    retries, the greatest number of retries that a block of the two comparisons took.
 
     The edited text has the last quarter of the text's code points replaced by the beginning of the next document.
     Null texts are empty: two empty texts are alike (1), an empty and another text are not (0).  Null ids come first in
-    the order, equal ids follow by the hash of their text; a single row is followed by itself.  Empty tables give
-    empty results.  Other columns are not read.
+    the order, equal ids follow by the hash of their text; a single row is followed by itself.  Repeated rows follow each other.
+    Very long texts have more blocks, no larger ones.  Empty tables give empty results.  Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), "doc_id", "text")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("tail", F.floor(F.col("n_chars") / 4).cast("int"))
-    edited = F.concat(F.expr("substring(text, 1, int(n_chars) - tail)"), F.expr("substring(next, 1, tail)"))
-    rows = rows.withColumn("edited", edited)
-    rows = rows.withColumns({"own": digests(F.col("text")), "other": digests(F.col("next")), "changed": digests(F.col("edited")), "edited_sha256": F.sha2("edited", 256)})
-    rows = rows.drop("text", "next", "edited", "tail")
-    rows = rows.withColumns({f"{c}_cells": sketch(F.col(c)) for c in ("own", "other", "changed")})
-    rows = compared(rows, "to_edited", "own", "own_cells", "changed", "changed_cells")
-    rows = compared(rows, "to_next", "own", "own_cells", "other", "other_cells")
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        as_string(F.col("own_cells")).alias("fingerprint"),
-        as_string(F.col("changed_cells")).alias("edited_fingerprint"),
-        likeness("own", "changed", "to_edited").alias("near_edited"),
-        likeness("own", "other", "to_next").alias("near_next"),
-        F.col("to_edited")["b"].alias("edited_only"),
+    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars) - tail)"), F.expr("substring(next, 1, tail)")))
+    rows = rows.withColumns({"own": digests(F.col("text")), "other": digests(F.col("next")), "changed": digests(F.col("edited"))})
+    rows = rows.select(
+        "range", F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "other", "changed",
+        (F.size("own") + F.size("changed")).alias("n_edited"), (F.size("own") + F.size("other")).alias("n_next"),
+    )
+    rows = rows.withColumns({f"{c}_blocks": blocks_for(F.col(c)) for c in ("own", "other", "changed")})
+
+    def dealt(kind: int, side: int, found: str, *blocks: str) -> Column:
+        n = F.greatest(*[F.col(f"{b}_blocks") for b in blocks]) if len(blocks) > 1 else F.col(f"{blocks[0]}_blocks")
+        block = lambda d: F.xxhash64(d, F.lit("block")).bitwiseAND(n.cast("long") - 1).cast("int")
+        return F.transform(found, lambda d: F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), block(d).alias("block"), d.alias("digest")))
+
+    entries = F.concat(
+        dealt(0, 0, "own", "own"), dealt(1, 0, "changed", "changed"),
+        dealt(2, 0, "own", "own", "changed"), dealt(2, 1, "changed", "own", "changed"),
+        dealt(3, 0, "own", "own", "other"), dealt(3, 1, "other", "own", "other"),
+    )
+    # A block without digests has a row, too, so that fingerprints have all their blocks.
+    bare = lambda kind, blocks: F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda i: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("side"), i.alias("block"), F.lit(None).cast("long").alias("digest")))
+    entries = F.concat(entries, bare(0, "own_blocks"), bare(1, "changed_blocks"))
+    who = ["range", "row", "doc_id", "n_chars", "edited_sha256", "n_edited", "n_next"]
+    of_side = lambda s: F.sort_array(F.collect_list(F.when(F.col("e.side") == s, F.col("e.digest"))))
+    blocks = rows.select(*who, F.explode(entries).alias("e")).groupBy(*who, F.col("e.kind").alias("kind"), F.col("e.block").alias("block")).agg(of_side(0).alias("a"), of_side(1).alias("b"))
+    blocks = blocks.withColumns(
+        {"text": F.when(F.col("kind") <= 1, published(F.col("a"))), "diff": F.when(F.col("kind") >= 2, difference(F.col("a"), F.col("b")))}
     )
+    of_kind = lambda k, x: F.when(F.col("kind") == k, x)
+    string = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(of_kind(k, F.struct("block", "text")))), lambda x: x["text"]), ".")
+    apart = lambda k: F.coalesce(F.sum(of_kind(k, F.size("diff.a") + F.size("diff.b"))), F.lit(0))
+    near = lambda n, k: F.when(F.col(n) == 0, 1.0).otherwise((F.col(n) - F.col(f"apart{k}")) / F.col(n))
+    whole = blocks.groupBy(*who).agg(
+        string(0).alias("fingerprint"), string(1).alias("edited_fingerprint"), apart(2).alias("apart2"), apart(3).alias("apart3"),
+        F.coalesce(F.sum(of_kind(2, F.size("diff.b"))), F.lit(0)).alias("edited_only"), F.coalesce(F.max("diff.size"), F.lit(0)).alias("retries"),
+    )
+    return whole.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("n_edited", 2).alias("near_edited"), near("n_next", 3).alias("near_next"), "edited_only", "retries")
