@@ -1,15 +1,15 @@
 """Mixing sources to target weights by soft membership (operator 4).
 
 1. A naive Bayes classifier learns, from a bounded labelled table of documents whose domain is known, how each domain uses
-   words (hashed to BINS) and which source tag its documents carry.
-2. Every document gets a posterior over the domains, from its whole text and its tag: text alone or tag alone need
-   not decide it.
+   words (hashed to BINS).  It is fitted twice, on either half of the texts, and no text is scored by its own half, so
+   that a text's words don't vouch for its tag; how far the words are trusted is calibrated on the same halves.
+2. Every document gets a posterior over the domains: its text's, from its whole text, pooled with its tag, of which TAG_TRUST is
+   believed.  Without a tag the text alone decides.  Where texts tell nothing about domains, their posterior is the prior.
 3. Projected-gradient least squares finds rates r >= 0 such that the expected tokens of each domain, the sum over
    documents of rate x tokens x posterior, match the targets.  A step needs the domain totals alone, which tasks
    sum and the driver adds: the rates themselves stay with the documents, as a function of the steps so far.
+   Sums are of whole numbers, so that they don't depend on how rows are dealt to tasks.
 4. A document is taken floor(rate) times, and once more if a hash of its row falls below the rest of its rate.
-
-The text's evidence is tempered by its length, so that a long text does not silence the tag.
 """
 
 from __future__ import annotations
@@ -21,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, for_worker
+from .common import cut, for_worker, fresh
 
 BINS = 1 << 14
 MAX_LABELLED = 20_000
 MAX_DOMAINS = 1024
 STEPS = 60
-TEMPER = 50.0
+HALVES = 2
+TEMPERS = (0.0, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0)  # so many words of a text are believed, at most; calibration picks one
 SMOOTH = 20_000.0  # words of the common vocabulary that each domain starts with
 TAG_TRUST = 0.95
+UNIT = 1024  # sums are in this part of a token
+REST = "(rest)"  # the domains beyond MAX_DOMAINS share one membership and the sum of their targets
 
 
 class Bins:
@@ -49,71 +52,116 @@ class Bins:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
+def half(text: Column) -> Column:
+    """The half of the texts that a text belongs to; equal texts belong to the same one."""
+    return F.pmod(F.xxhash64(text, F.lit("half")), F.lit(HALVES)).cast("int")
+
+
 def labelled(docs: DataFrame, max_labelled: int) -> DataFrame:
-    """(text, domain) of at most about max_labelled documents, chosen by a hash of the text."""
+    """(text, domain, half) of at most about max_labelled documents, chosen by a hash of the text."""
     known = docs.where("domain is not null")
     n = known.count()
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, int(max_labelled / n * (1 << 20))))
-    return known.select("text", "domain")
+    return known.select("text", "domain", half(F.col("text")).alias("half"))
+
+
+class Classifier:
+    """Text to posteriors: word log odds of each half's complement, (HALVES, BINS, domains), a prior, and a temper."""
 
+    def __init__(self, words: np.ndarray, prior: np.ndarray, temper: float):
+        self.words, self.prior, self.temper = words, prior, temper
 
-def learned(docs: DataFrame, domains: list[str], max_labelled: int) -> np.ndarray:
-    """log P(bin | domain) less the mean over domains: (domains, BINS)."""
-    place = {d: i for i, d in enumerate(domains)}
+    def evidence(self, texts: list[bytes | None], halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of each text, and their summed log odds."""
+        bins = for_worker("bins", Bins)
+        split = [(t or b"").split() for t in texts]
+        n = np.array([len(t) for t in split], np.int64)
+        used = bins([w for t in split for w in t])
+        log = np.zeros((len(texts), len(self.prior)))
+        if len(used):
+            some = np.flatnonzero(n)
+            odds = self.words[np.repeat(halves, n), used]
+            log[some] = np.add.reduceat(odds, np.concatenate(([0], np.cumsum(n[some])[:-1])), axis=0)
+        return n, log
+
+    def posterior(self, n: np.ndarray, log: np.ndarray, temper: float | None = None) -> np.ndarray:
+        t = self.temper if temper is None else temper
+        log = np.log(self.prior) + log * (t / np.maximum(n, max(t, 1.0)))[:, None]
+        p = np.exp(log - log.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+
+def learned(docs: DataFrame, domains: list[str], max_labelled: int) -> Classifier:
+    """The classifier, from docs (text, domain)."""
+    place, rest = {d: i for i, d in enumerate(domains)}, len(domains) - 1
+    sample = labelled(docs, max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
+        counts: dict[tuple[int, int], np.ndarray] = {}
         bins = for_worker("bins", Bins)
         for b in batches:
-            for t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if d in place:
-                    at = counts.setdefault(place[d], np.zeros(BINS, np.int64))
-                    at += np.bincount(bins((t or b"").split()), minlength=BINS)
-        for d, own in counts.items():
+            for t, d, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = counts.setdefault((h, place.get(d, rest)), np.zeros(BINS + 1, np.int64))
+                at[:BINS] += np.bincount(bins((t or b"").split()), minlength=BINS)
+                at[BINS] += 1
+        for (h, d), own in counts.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d, np.int32)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["domain", "bin", "n"])
+            part = [pa.array(np.full(len(at), x, np.int32)) for x in (h, d)]
+            yield pa.RecordBatch.from_arrays([*part, pa.array(at.astype(np.int32)), pa.array(own[at])], ["half", "domain", "bin", "n"])
+
+    # At most halves x domains x (BINS + 1) sums reach the driver, whatever the input.
+    sums = sample.mapInArrow(run, "half int, domain int, bin int, n long").groupBy("half", "domain", "bin").agg(F.sum("n").alias("n")).toPandas()
+    own = np.zeros((HALVES, len(domains), BINS + 1))
+    own[tuple(sums[c].to_numpy(int) for c in ("half", "domain", "bin"))] = sums["n"].to_numpy(float)
+    prior = own[:, :, BINS].sum(axis=0) + 0.5
+    words = np.zeros((HALVES, BINS, len(domains)), np.float32)
+    for h in range(HALVES):
+        counts = own[:, :, :BINS].sum(axis=0) - own[h, :, :BINS]
+        share = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * BINS)
+        log = np.log((counts + SMOOTH * share) / (counts.sum(axis=1, keepdims=True) + SMOOTH))
+        words[h] = (log - log.mean(axis=0)).T
+    made = Classifier(words, prior / prior.sum(), 0.0)
+    spread = docs.sparkSession.sparkContext.broadcast((words, made.prior))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = Classifier(*spread.value, 0.0), np.zeros(len(TEMPERS), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                texts, tags, halves = (c.to_pylist() for c in whole.slice(at, 64).columns)
+                n, log = known.evidence(texts, np.array(halves))
+                own = np.arange(len(tags)), np.array([place.get(d, rest) for d in tags])
+                total += [int(np.rint(np.log(known.posterior(n, log, t)[own] + 1e-12) * UNIT).sum()) for t in TEMPERS]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["fit"])
 
-    # At most domains x BINS sums reach the driver, whatever the input.
-    sums = labelled(docs, max_labelled).mapInArrow(run, "domain int, bin int, n long").groupBy("domain", "bin").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(domains), BINS))
-    counts[sums["domain"].to_numpy(int), sums["bin"].to_numpy(int)] = sums["n"].to_numpy(float)
-    share = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * BINS)
-    log = np.log((counts + SMOOTH * share) / (counts.sum(axis=1, keepdims=True) + SMOOTH))
-    return (log - log.mean(axis=0)).astype(np.float32)
+    fits = sample.mapInArrow(fit, "fit array<long>").select(F.posexplode("fit").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    best = fits.sort_values(["x", "i"], ascending=[False, True])["i"].iloc[0] if len(fits) else 0
+    return Classifier(words, made.prior, TEMPERS[int(best)])
 
 
-def posteriors(docs: DataFrame, domains: list[str], words: np.ndarray, tag_trust: float = TAG_TRUST) -> DataFrame:
-    """docs without text, with tokens and posterior (one share for each domain)."""
-    place = {d: i for i, d in enumerate(domains)}
-    table = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(words.T))  # BINS x domains, whatever the input
-    others = np.log(max(1e-9, 1 - tag_trust) / max(1, len(domains) - 1)) if len(domains) > 1 else 0.0
+def posteriors(docs: DataFrame, domains: list[str], known: Classifier, tag_trust: float = TAG_TRUST) -> DataFrame:
+    """docs (text, domain, ..) without text, with tokens and posterior (one share for each domain)."""
+    place, rest = {d: i for i, d in enumerate(domains)}, len(domains) - 1
+    # HALVES x BINS x domains log odds, whatever the input
+    spread = docs.sparkSession.sparkContext.broadcast((known.words, known.prior, known.temper))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, bins = table.value, for_worker("bins", Bins)
+        classifier = Classifier(*spread.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
-                texts = [(t or b"").split() for t in b.column("text").to_pylist()]
-                n = np.array([len(t) for t in texts])
-                used = bins([w for t in texts for w in t])
-                log = np.zeros((len(texts), len(domains)))
-                if len(used):
-                    some = np.flatnonzero(n)
-                    log[some] = np.add.reduceat(score[used], np.concatenate(([0], np.cumsum(n[some])[:-1])), axis=0)
-                log *= (TEMPER / np.maximum(n, TEMPER))[:, None]
+                n, log = classifier.evidence(b.column("text").to_pylist(), b.column("half").to_numpy(zero_copy_only=False))
+                p = classifier.posterior(n, log)
                 for i, d in enumerate(b.column("domain").to_pylist()):
-                    if d in place:
-                        log[i] += others
-                        log[i, place[d]] += np.log(tag_trust) - others
-                p = np.exp(log - log.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
+                    if d is not None:
+                        p[i] *= 1 - tag_trust
+                        p[i, place.get(d, rest)] += tag_trust
                 keep = [b.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(n), pa.array(list(p.astype(np.float32)), pa.list_(pa.float32()))], [*names, "tokens", "posterior"])
 
     names = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{kinds}, tokens long, posterior array<float>")
+    return docs.withColumn("half", half(F.col("text"))).mapInArrow(run, f"{kinds}, tokens long, posterior array<float>")
 
 
 def rates(p: np.ndarray, pulls: list[np.ndarray]) -> np.ndarray:
@@ -134,21 +182,22 @@ def solved(known: DataFrame, target: np.ndarray, steps: int = STEPS, close: floa
 
     def sums(pulls: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, weight = np.zeros(k), np.zeros(k)
+            whole = np.zeros((2, k), np.int64)
             for b in batches:
                 if b.num_rows:
                     p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k).astype(float)
                     n, r = b.column(0).to_numpy(zero_copy_only=False).astype(float), rates(p, pulls)
-                    total += p.T @ (n * r)
-                    weight += p.T @ (n * ((r > 0) | (p @ (pulls[-1] if pulls else np.ones(k)) > 0)))
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([weight.tolist()], pa.list_(pa.float64()))], ["total", "weight"])
+                    moves = n * ((r > 0) | (p @ (pulls[-1] if pulls else np.ones(k)) > 0))
+                    for i, x in enumerate((n * r, moves)):
+                        whole[i] += np.rint(p * x[:, None] * UNIT).astype(np.int64).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.int64())) for x in whole], ["total", "weight"])
 
         # k sums for each task; they are added by element on the executors.
-        rows = known.select("tokens", "posterior").mapInArrow(run, "total array<double>, weight array<double>").select(F.posexplode(F.arrays_zip("total", "weight")).alias("i", "x"))
+        rows = known.select("tokens", "posterior").mapInArrow(run, "total array<long>, weight array<long>").select(F.posexplode(F.arrays_zip("total", "weight")).alias("i", "x"))
         got = rows.groupBy("i").agg(F.sum("x.total").alias("total"), F.sum("x.weight").alias("weight")).toPandas().sort_values("i")
         if not len(got):
             return np.zeros(k), np.zeros(k)
-        return got["total"].to_numpy(float), got["weight"].to_numpy(float)
+        return got["total"].to_numpy(float) / UNIT, got["weight"].to_numpy(float) / UNIT
 
     pulls: list[np.ndarray] = []
     for _ in range(steps):
@@ -175,38 +224,49 @@ def mixed(
     flatten: float = 0.5,
     max_labelled: int = MAX_LABELLED,
     steps: int = STEPS,
+    max_domains: int = MAX_DOMAINS,
 ) -> DataFrame:
     """One row per row of docs: doc_id, domain, n_tokens, posterior (of the row's own domain), rate, copies.
 
     target: shares of tokens by domain, for all domains named there; by default each domain's present tokens raised to
     the power `flatten`, which lifts small domains.  Shares are scaled to the tokens that docs has; a domain without
     documents stays empty.  Tokens are words between white space.
+    Real totals by tag follow the expected ones as far as tags are trusted: with TAG_TRUST t, a domain's real share is off by
+    (1 - t) / t of the distance between its target and what texts alone say.
     Nulls: null texts are empty; a null domain is unknown, and the text alone decides.  Every row has a draw of its own, by its id, text
     and place in the table, so rows with null or repeated ids are rounded one by one.
-    Empty texts have no tokens and the posterior of their tag.  Repeated rows are rated alike.  Empty tables give
+    Empty texts have no tokens and the posterior of their tag and the prior.  Very long texts are read whole, a few at a time.
+    Domains beyond max_domains share one membership.  Repeated rows are rated alike.  Empty tables give
     empty results.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.col(domain_col).cast("string").alias("domain"))
-    names = sorted(r["domain"] for r in rows.where("domain is not null").groupBy("domain").count().limit(MAX_DOMAINS + 1).collect())
-    if len(names) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    sizes = rows.where("domain is not null").groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(max_domains + 1).collect()
+    names = [r["domain"] for r in sizes]
+    names = sorted(names) if len(names) <= max_domains else [*sorted(names[: max_domains - 1]), REST]
     if not names:
         tokens = F.size(F.filter(F.split(F.col("text").cast("string"), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).cast("long")
         return rows.select("doc_id", "domain", F.greatest(tokens, F.lit(0)).alias("n_tokens"), F.lit(1.0).alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))
     known = cut(posteriors(keyed, names, learned(rows, names, max_labelled)))
-    present = known.groupBy("domain").agg(F.sum("tokens").alias("tokens")).toPandas()
+    place, rest = {d: i for i, d in enumerate(names)}, len(names) - 1
+    own = F.when(F.col("domain").isin(names), F.col("domain")).when(F.col("domain").isNotNull(), names[-1])  # names are a bounded list
+    present = known.groupBy(own.alias("domain")).agg(F.sum("tokens").alias("tokens")).toPandas()
     total = float(present["tokens"].sum())
     now = {d: float(n) for d, n in zip(present["domain"], present["tokens"], strict=True) if d is not None}
-    want = np.array([max(0.0, target.get(d, 0.0)) if target else now.get(d, 0.0) ** flatten for d in names])
+    if target:
+        want = np.zeros(len(names))
+        for d, x in target.items():
+            if d in place or names[-1] == REST:
+                want[place.get(d, rest)] += max(0.0, x)
+    else:
+        want = np.array([now.get(d, 0.0) ** flatten for d in names])
     pulls = solved(known, want / want.sum() * total if want.sum() else want, steps)
-    place = {d: i for i, d in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             domain = b.column("domain").to_pylist()
             p = b.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(place)).astype(float)
-            own = np.array([q[place[d]] if d in place else q.max() for q, d in zip(p, domain, strict=True)], float)
+            own = np.array([q.max() if d is None else q[place.get(d, rest)] for q, d in zip(p, domain, strict=True)], float)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("domain"), b.column("tokens"), pa.array(own), pa.array(rates(p, pulls)), b.column("key")], ["doc_id", "domain", "n_tokens", "posterior", "rate", "key"])
 
     rated = known.mapInArrow(run, "doc_id long, domain string, n_tokens long, posterior double, rate double, key long")
@@ -214,8 +274,12 @@ def mixed(
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as its own copies in mixed() say, whatever its id.  Columns called mix_row or mix_copy are dropped."""
-    rows = cut(docs.drop("mix_row", "mix_copy").withColumn("mix_row", F.monotonically_increasing_id()))
-    copies = mixed(rows, id_col="mix_row", **how).where("copies > 0").select(F.col("doc_id").alias("mix_row"), "copies")
-    copies = copies.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("mix_copy"))
-    return rows.join(copies, "mix_row").drop("mix_row", "mix_copy")
+    """The rows of docs, each as often as its own copies in mixed() say, whatever its id.
+
+    Nulls, empty and long texts, repeated rows and empty tables are as in mixed(); other columns stay as they are, whatever they are called.
+    """
+    row, copy = fresh(docs.columns, "row", "copy")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    copies = mixed(rows, id_col=row, **how).where("copies > 0").select(F.col("doc_id").alias(row), "copies")
+    copies = copies.select(row, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias(copy))
+    return rows.join(copies, row).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,6 +21,65 @@ def test_totals_meet_the_targets(spark):
     assert np.abs(p.T @ (n * r) - target).sum() < 0.02 * target.sum()
 
 
+def test_rates_against_a_plain_solver(spark):
+    """The least squares of a small table, against coordinate descent over all documents."""
+    rng = np.random.default_rng(2)
+    p, n = rng.dirichlet(np.full(4, 0.4), 60), rng.integers(5, 50, 60)
+    for target in (np.array([4, 3, 2, 1.0]) / 10 * n.sum(), np.array([7, 1, 1, 1.0]) / 10 * n.sum()):
+        known = spark.createDataFrame([(int(k), q.tolist()) for k, q in zip(n, p, strict=True)], "tokens long, posterior array<float>")
+        got = M.rates(p.astype(np.float32).astype(float), M.solved(known, target, 200, 1e-5))
+        a, x = (p * n[:, None]).T, np.ones(60)
+        for _ in range(3000):
+            for i in range(60):
+                x[i] = max(0.0, x[i] + a[:, i] @ (target - a @ x) / (a[:, i] @ a[:, i]))
+        miss = lambda r: np.abs(a @ r - target).sum() / target.sum()
+        assert (got >= 0).all() and miss(got) <= miss(x) + 0.02
+
+
+def test_texts_do_not_vouch_for_their_own_tags(spark):
+    """Texts of words that no other text has: their posterior is the prior, not the tag."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), f"d{i % 2}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "cast(text as binary) as text", "source as domain")
+    got = M.posteriors(df, ["d0", "d1"], M.learned(df, ["d0", "d1"], 1000), tag_trust=0.0).toPandas()
+    assert np.abs(np.array(got.posterior.tolist()) - 0.5).max() < 0.2
+
+
+def test_real_shares_meet_the_targets(spark):
+    """Token shares by tag, with the copies that are taken: texts that tell the domain, and texts that don't."""
+    rng = np.random.default_rng(4)
+    words = {d: [f"{d}{i}" for i in range(50)] for d in "abc"}
+    for telling in (True, False):
+        rows = []
+        for i in range(3000):
+            d = "aaaabbc"[i % 7]
+            rows.append((i, " ".join(rng.choice(words[d] if telling else words["a"], 20)), d))
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        target = {"a": 0.3, "b": 0.3, "c": 0.4}
+        got = M.mixed(df, target).toPandas()
+        real = got.assign(t=got.n_tokens * got.copies).groupby("domain").t.sum() / (got.n_tokens * got.copies).sum()
+        for d, x in target.items():
+            assert abs(real[d] - x) < 0.06 * x, (telling, d, real[d])
+
+
+def test_domains_beyond_the_bound_share_one_membership(spark):
+    rows = [(i, f"word{i % 9} and more " * 5, f"s{min(i % 12, 9)}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mixed(df, max_domains=4).toPandas()
+    assert len(got) == 240 and set(got.domain) == {f"s{i}" for i in range(10)} and (got.rate > 0).all()
+
+
+def test_rates_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{MID}/documents.parquet").select("doc_id", "text", "source")
+    a, b = ({r.doc_id: r.rate for r in M.mixed(docs.repartition(k)).collect()} for k in (2, 7))
+    assert a == b
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "apple pear " * 200_000, "fruit"), (2, "iron zinc " * 10, "metal"), (3, "iron lead", "metal")]
+    got = {r.doc_id: r for r in M.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].n_tokens == 400_000 and all(r.rate >= 0 for r in got.values())
+
+
 def test_text_decides_where_the_tag_is_missing(spark):
     rows = [(i, f"{'apple pear plum ' * 30}" if i % 2 else f"{'iron zinc lead ' * 30}", "fruit" if i % 2 else "metal") for i in range(60)]
     rows += [(100, "apple plum " * 40, None), (101, "zinc iron " * 40, None), (102, None, "fruit"), (103, "", None), (None, "apple", "fruit"), (1, rows[1][1], "fruit")]
