@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import connected_components, cut, shuffle_width
+from .common import connected_components, cut, fresh, shuffle_width
 
 RADIUS = 4
 BLOCKS = 6
@@ -53,16 +53,15 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(digests)).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs with fp, the fingerprint as a signed long.  Null and empty texts have 0."""
-    rows = docs.drop("fp")
+def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
+    """docs with the fingerprint as a signed long, under a name that docs doesn't have.  Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint_of(t.as_py(), shingle) for t in b.column(text_col)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, name])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def shifted(planes: np.ndarray, d: int) -> np.ndarray:
@@ -217,10 +216,12 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of docs, with all their columns, less all but one of each component: the one with the smallest id.
 
-    Null ids come last; of rows with equal ids in a component the first in the table stays.  Columns called fp and row are dropped.
+    Null ids come last; of rows with equal ids in a component the first in the table stays.  Null and empty texts are alike, and one of
+    them stays.  Empty tables give empty results.  Other columns stay as they are, whatever they are called.
     """
-    rows = cut(with_fingerprints(docs.drop("row"), text_col, shingle).withColumn("row", F.monotonically_increasing_id()))
-    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row")
-    member = with_components(rows.groupBy("fp").agg(F.min(order).alias("first")), radius, blocks)
-    stay = member.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    return rows.join(stay, "row", "left_semi").drop("fp", "row")
+    fp, row = fresh(docs.columns, "fp", "row")
+    rows = cut(with_fingerprints(docs, text_col, shingle, fp).withColumn(row, F.monotonically_increasing_id()))
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    member = with_components(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), radius, blocks)
+    stay = member.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
