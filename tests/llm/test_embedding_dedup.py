@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import embedding_dedup as E
 
@@ -36,15 +38,29 @@ def clusters(n=12, size=25, dim=64, seed=2):
     return rows
 
 
-def test_recall_of_pairs_at_the_threshold():
+@pytest.mark.parametrize("dim", [32, 64, 256])
+def test_recall_of_pairs_at_the_threshold_for_every_number_of_filters(dim):
     rng = np.random.default_rng(11)
-    x = E.unit(rng.standard_normal((1500, 64)))
-    side = rng.standard_normal((1500, 64))
+    x = E.unit(rng.standard_normal((1500, dim)))
+    side = rng.standard_normal((1500, dim))
     side = E.unit(side - (side * x).sum(axis=1, keepdims=True) * x)
-    f = E.Filters(64)
-    for cosine, least in ((0.93, 0.99), (0.96, 0.995), (0.99, 0.999)):
-        a, b = f.decode(x), f.decode(cosine * x + (1 - cosine**2) ** 0.5 * side)
-        assert np.mean([np.intersect1d(p, q).size > 0 for p, q in zip(a, b, strict=True)]) >= least
+    for codes in (16, 64, 256, 1024):
+        f = E.Filters(dim, codes)
+        for cosine, least in ((0.93, 0.99), (0.96, 0.995), (0.99, 0.999)):
+            a, b = f.decode(x), f.decode(cosine * x + (1 - cosine**2) ** 0.5 * side)
+            assert np.mean([np.intersect1d(p, q).size > 0 for p, q in zip(a, b, strict=True)]) >= least
+
+
+def test_comparisons_grow_in_proportion_to_the_vectors(spark):
+    rng = np.random.default_rng(5)
+    sizes = [400, 4_000, 40_000]
+    codes = [r.c for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(E.codes_for(F.col("n")).alias("c")).collect()]
+    assert codes == sorted(codes) and codes[0] == E.LEAST_CODES < codes[2]
+    each = []
+    for n, c in zip(sizes, codes, strict=True):
+        found = E.Filters(64, c).decode(E.unit(rng.standard_normal((n, 64))))
+        each.append((np.bincount(found.ravel()).astype(float) ** 2).sum() / n)
+    assert each[2] < 4 * each[1] and each[2] < E.BUCKET * 2 * E.list_size(codes[2])
 
 
 def test_list_decoding_finds_the_nearest_filters():
