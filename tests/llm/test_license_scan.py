@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 from tessera.llm import license_scan as L
 
 from ..conftest import MID
@@ -26,6 +30,51 @@ def test_neighbouring_diagonals_are_merged(spark):
     assert label not in got[1]["labels"].split(",")
 
 
+def verified(words, template):
+    """The best verified cover of a template, by plain loops over texts' word pairs."""
+    need, pairs = len(template) - 1, list(zip(words, words[1:]))
+    hits = [(p, a) for p, x in enumerate(pairs) for a, y in enumerate(zip(template, template[1:])) if x == y]
+    votes = Counter(p - a for p, a in hits)
+    best = 0
+    for d, n in votes.items():
+        if n < max(votes.get(d + k, 0) for k in range(-L.NEIGHBOURS, L.NEIGHBOURS + 1)):
+            continue
+        first, last, held = {}, -1, 0
+        for p, a in sorted(hits, key=lambda h: (h[1], abs(h[0] - h[1] - d), h[0])):
+            if abs(p - a - d) <= L.NEIGHBOURS and a not in first:
+                first[a] = p
+        for a in sorted(first):
+            if first[a] > last:
+                last, held = first[a], held + 1
+        best = max(best, held)
+    return best / need if best >= math.ceil(need * L.COVERAGE) else 0.0
+
+
+def test_spans_are_verified_against_brute_force(spark):
+    rng = random.Random(8)
+    template, label = max(L.TEMPLATES, key=lambda t: len(t[0]))
+    template = template.split()
+    texts = []
+    for _ in range(60):
+        words = list(template)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(3)] = rng.sample(template, rng.randrange(3))
+        texts.append(" ".join(words))
+    texts += [" ".join(template[i : i + 2] * 2) for i in range(5)] + [" ".join(template[10:] + template[:10])]
+    for text, row in zip(texts, scan(spark, texts), strict=True):
+        want = verified(text.split(), template)
+        assert (label in row["labels"].split(",")) == (want > 0)
+        if want:
+            assert abs(row["score"] - want) < 1e-9 or row["n_base"]
+
+
+def test_only_ascii_letters_are_lower_cased(spark):
+    got = scan(spark, ["This wor\u212a is licensed under the GNU General Public License version 3", "This worK is licensed under the GNU General Public License version 3", "m\u0130t license"])
+    assert [r["labels"] for r in got] == ["gpl", "gpl,gpl-3.0", ""] and [r["score"] for r in got] == [1.0, 1.0, 0.0]
+    assert got[0]["n_words"] == 12
+
+
 def test_repeated_rows_empty_tables_and_long_texts(spark):
     df = spark.createDataFrame([(1, "mit license " * 5000), (1, "mit license " * 5000), (None, "apache license")], "doc_id long, text string")
     got = L.license_scan(df).collect()
