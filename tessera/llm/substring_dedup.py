@@ -9,30 +9,33 @@ at a multiple of BLOCK in one of the two places (WINDOW >= 2 * BLOCK - 1).  So:
    a window whose key occurs at two places is an exact repeat, and neighbouring ones join to maximal repeats.
 3. The words that such windows cover are removed.
 
-Keys travel as packed binary columns, a few bytes each: documents are gathered to units (by doc_id), and a
-row holds a unit's keys for one shard of the key space.  A passage shared by a million documents is one key
-for each unit at most, so no shard, key or group is hot, and no pairs are made.
-Keys have 30 bits beside their shard in step 1, where a chance match only costs a check in step 2, and 62
-bits in step 2.
+Keys travel as packed binary columns, a few bytes each: documents are gathered to units of some hundred rows, as they
+lie in the table, whatever their ids, and a row holds a unit's keys for one shard of the key space.  There
+are as many shards as the input's size asks for, SHARD_BYTES of text each, so a shard's keys fit in a task.  A passage shared by a
+million documents is one key for each unit at most, so no shard, key or group is hot, and no pairs are made.
+Keys have 30 bits beside their shard in step 1, where a chance match only costs a check in step 2, and 64
+bits in all in step 2, where it would remove a window wrongly: among n windows near anchors n * n / 2 ** 65 such pairs
+are to be expected, about 1 in 10 ** 8 windows of 100 TB of text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import compress
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import for_worker, shuffle_width
 
 WINDOW = 35
 BLOCK = 18
-UNIT_DOCS = 128
-SHARDS_PER_PARTITION = 1
+UNIT_ROWS, MOST_UNIT_ROWS = 128, 2048
+SHARD_BYTES = 256 << 20
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -106,10 +109,6 @@ def windows(hashes: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray,
     return keys, inside
 
 
-def unit_of(doc_id: Column) -> Column:
-    return F.coalesce(F.floor(doc_id / UNIT_DOCS), F.lit(-1)).cast("long")
-
-
 def to_shards(keys: np.ndarray, aligned: np.ndarray | None, shards: int, bits: int) -> Iterator[tuple[int, bytes]]:
     """A unit's keys by shard.  Two low bits: the key is met twice here; it is a block here."""
     if not len(keys):
@@ -185,21 +184,26 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of that many words covers it whose words also start anywhere else, in the same
     text or another, repeated rows included.  Null and empty texts have no words and keep nothing; texts
-    shorter than the window keep all.  Rows with null ids are judged like any other.  Empty tables give
+    shorter than the window keep all.  Rows with null or equal ids are judged like any other.  Empty tables give
     empty results.  Other columns are not read.
     """
     block = (window + 1) // 2
     n = shuffle_width(docs.sparkSession)
-    shards = shards or n * SHARDS_PER_PARTITION
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), unit_of(F.col(id_col)).alias("unit"))
+    text = F.col(text_col).cast("binary")
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        shards = max(n, ceil(size / SHARD_BYTES))
+    unit_rows = min(MOST_UNIT_ROWS, UNIT_ROWS * ceil(shards / 1024))  # a row's keys get fewer as shards get more
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.expr(f"monotonically_increasing_id() div {unit_rows}").alias("unit"))
+    rows = rows.repartition(n, "unit")  # all three uses share this exchange
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = b.column(0).to_numpy(zero_copy_only=False)
+            units = b.column("unit").to_numpy(zero_copy_only=False)
             ends = np.flatnonzero(np.concatenate((units[1:] != units[:-1], [True]))) + 1 if len(units) else []
             at = 0
             for end in ends:
-                hashes, begins = gathered(b.column(1).slice(at, end - at).to_pylist())
+                hashes, begins = gathered(b.column("text").slice(at, end - at).to_pylist())
                 keys, inside = windows(hashes, begins, block)
                 place = np.arange(len(keys)) - np.repeat(begins[:-1], np.diff(begins))[: len(keys)]
                 found = list(to_shards(keys[inside], (place % block == 0)[inside], shards, 30))
@@ -209,7 +213,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
                 at = end
 
-    anchors = repeated(rows.select("unit", "text").mapInArrow(probe, "shard int, unit long, keys binary"), 30)
+    anchors = repeated(rows.sortWithinPartitions("unit").mapInArrow(probe, "shard int, unit long, keys binary"), 30)
 
     def extend(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found, unit = [], left["unit"].iloc[0] if len(left) else -1
@@ -243,11 +247,10 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             }
         )
 
-    grouped = lambda: rows.repartition(n, "unit").groupBy("unit")  # noqa: E731  both uses share one exchange
     exact = repeated(
-        grouped().cogroup(anchors.groupBy("unit")).applyInPandas(extend, "shard int, unit long, keys binary"), 62
+        rows.groupBy("unit").cogroup(anchors.groupBy("unit")).applyInPandas(extend, "shard int, unit long, keys binary"), 62
     )
-    return grouped().cogroup(exact.groupBy("unit")).applyInPandas(erase, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.groupBy("unit").cogroup(exact.groupBy("unit")).applyInPandas(erase, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -41,5 +41,20 @@ def test_matches_brute_force_on_shared_passages(spark):
     assert got(df.limit(0)) == []
 
 
+def test_rows_without_ids_and_a_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None if i % 3 else 5, f"own{i} {passage} end{i}") for i in range(700)] + [(6, " ".join(f"v{i}" for i in range(200_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df) == brute(rows, 35)
+
+
+def test_texts_are_shuffled_once(spark):
+    df = S.digest(S.repeated_words(spark.read.parquet(f"{MID}/documents.parquet")))
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 2
+
+
 def test_agrees_with_sql(spark, agrees):
     agrees(S.digest(S.repeated_words(spark.read.parquet(f"{MID}/documents.parquet"))), S.oracle(), MID)
