@@ -1,20 +1,23 @@
 """Packing token sequences by non-negative least squares over a length histogram (operator 7).
 
 1. Every text is encoded; windows of full length are cut off its front, and the rest is its remainder.
-2. The remainders' lengths make a histogram of fewer than `window` bins, whatever the input.
-3. Shallow combinations of two or three lengths that fill a window exactly are enumerated, and non-negative
-   least squares solves how often to use each, against the histogram.
-4. Remainders are dealt to groups of about GROUP_ROWS rows by hash; each group uses every combination as often
-   as its share of the solution, rounded, allows, and packs what is left greedily: first whole, then cut to fit.
-
-A group's last sequence is the only one that may hold padding, so padding falls as 1 / GROUP_ROWS.
+2. Remainders are dealt by hash to groups of about GROUP_ROWS rows, and a group's lengths make a histogram.
+3. All combinations of two or three of its lengths that fill a window exactly are enumerated, and non-negative
+   least squares solves how often to use each, against the histogram.  The counts are rounded cumulatively, so that
+   many small ones are used as often as they sum up to, and what they place is taken from the histogram: first for pairs, which
+   leave less to combine, then for all combinations until a solution places hardly more.
+4. What is left is packed greedily: first whole, then cut to fit.
+
+Fewer documents are cut than by the greedy part alone, with no more sequences.  A group's last sequence is the only one
+that may hold padding, so padding falls as 1 / GROUP_ROWS.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from math import ceil
 from zlib import crc32
 
@@ -30,6 +33,7 @@ WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 GROUP_ROWS = 8192
+STEPS = 40
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -139,47 +143,69 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window:
     )
 
 
-def combinations_of(histogram: np.ndarray, window: int, most: int = 30_000) -> np.ndarray:
-    """Two or three lengths that fill the window exactly, each with a share in the histogram; zero stands for none.
-
-    All pairs; of the triples those whose rarest length is commonest, up to `most` combinations."""
+def combinations_of(histogram: np.ndarray, window: int, triples: bool = True) -> np.ndarray:
+    """All pairs and triples of lengths that the histogram has and that fill the window exactly, the longest length
+    first and in its order; zero stands for no length."""
     have = np.flatnonzero(histogram)
-    pairs = have[(have <= window - have) & (histogram[np.clip(window - have, 0, window)] > 0)]
+    have = have[have > 0]
+    there = np.zeros(window + 1, bool)
+    there[have] = True
+    pairs = have[(2 * have >= window) & there[window - have]]
     out = [np.stack([pairs, window - pairs, np.zeros_like(pairs)], axis=1)]
-    common = have[np.argsort(-histogram[have], kind="stable")][:400]
-    a, b = np.meshgrid(np.sort(common), np.sort(common), indexing="ij")
-    c = window - a - b
-    ok = (a <= b) & (b <= c)
-    a, b, c = a[ok], b[ok], c[ok]
-    ok = histogram[c] > 0
-    triples = np.stack([a[ok], b[ok], c[ok]], axis=1)
-    rarest = np.argsort(-histogram[triples].min(axis=1), kind="stable") if len(triples) else []
-    out.append(triples[rarest][: max(0, most - len(pairs))])
-    return np.concatenate(out)
-
-
-def solve_counts(histogram: np.ndarray, combos: np.ndarray, steps: int = 300) -> np.ndarray:
+    if triples:
+        a, b = np.meshgrid(have, have, indexing="ij")
+        c = window - a - b
+        ok = (a >= b) & (b >= c) & (c > 0)
+        a, b, c = a[ok], b[ok], c[ok]
+        ok = there[c]
+        out.append(np.stack([a[ok], b[ok], c[ok]], axis=1))
+    found = np.concatenate(out)
+    return found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))]
+
+
+def solve_counts(histogram: np.ndarray, combos: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |A x - histogram| squared, by accelerated projected gradient;
     A has a column per combination with its use of each length."""
-    if not len(combos):
-        return np.zeros(0)
-    used, n = combos > 0, len(histogram)
-    apply = lambda x: np.bincount(combos.T.ravel(), weights=(used.T * x).ravel(), minlength=n)
-    back = lambda r: (r[combos] * used).sum(axis=1)
-    target = histogram.astype(float)
-    degree = np.bincount(combos[used], minlength=n)
-    rate = 1.0 / (back(degree.astype(float)) + 1e-9)  # a bound of each row of A'A, so the scaled step never grows
+    n, columns = len(histogram), combos.T.copy()
+    used = (columns > 0).astype(float)
+    apply = lambda x: sum(np.bincount(c, weights=u * x, minlength=n) for c, u in zip(columns, used, strict=True))
+    back = lambda r: sum(r[c] * u for c, u in zip(columns, used, strict=True))
+    real = np.arange(n) > 0
+    rate = 1.0 / (back(apply(np.ones(len(combos))) * real) + 1e-9)  # a bound of each row of A'A, so the scaled step never grows
     x = y = np.zeros(len(combos))
     t = 1.0
     for _ in range(steps):
-        nx = np.maximum(0, y + rate * back((target - apply(y)) * (np.arange(n) > 0)))
+        nx = np.maximum(0, y + rate * back((histogram - apply(y)) * real))
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = nx + (t - 1) / nt * (nx - x)
         x, t = nx, nt
     return x
 
 
-def pack_group(lengths: np.ndarray, combos: np.ndarray, counts: np.ndarray, share: float, window: int) -> list[tuple[int, int, int, int, int]]:
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Whole numbers whose running sums are those of x, rounded."""
+    return np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0.0).astype(int)
+
+
+def planned(histogram: np.ndarray, window: int, least: float = 0.02) -> list[list[int]]:
+    """The lengths of each sequence that the rounded solutions fill; the histogram is left with the rest."""
+    out: list[list[int]] = []
+    for triples in chain([False], repeat(True)):
+        combos, before = combinations_of(histogram, window, triples), histogram.sum()
+        if len(combos):
+            counts = rounded(solve_counts(histogram, combos))
+            for i in np.flatnonzero(counts).tolist():
+                lengths = [n for n in combos[i].tolist() if n]
+                need = Counter(lengths)
+                times = min(int(counts[i]), *(int(histogram[n]) // m for n, m in need.items()))
+                for n, m in need.items():
+                    histogram[n] -= m * times
+                out += [lengths] * times
+        if triples and before - histogram.sum() <= least * before:
+            return out
+
+
+def pack_group(lengths: np.ndarray, window: int, plan: bool = True) -> list[tuple[int, int, int, int, int]]:
     """(row, start in the remainder, length, sequence, offset) for remainders of the given lengths."""
     order = np.argsort(lengths, kind="stable")
     left: dict[int, list[int]] = {}
@@ -187,16 +213,12 @@ def pack_group(lengths: np.ndarray, combos: np.ndarray, counts: np.ndarray, shar
         if lengths[i]:
             left.setdefault(int(lengths[i]), []).append(i)
     out, seq = [], 0
-    for combo, x in zip(combos.tolist(), counts.tolist(), strict=True):
-        for _ in range(round(x * share)):
-            parts = [n for n in combo if n]
-            if any(len(left.get(n, ())) < parts.count(n) for n in parts):
-                break
-            at = 0
-            for n in parts:
-                out.append((left[n].pop(), 0, n, seq, at))
-                at += n
-            seq += 1
+    for parts in planned(np.bincount(lengths, minlength=window + 1), window) if plan else []:
+        at = 0
+        for n in parts:
+            out.append((left[n].pop(), 0, n, seq, at))
+            at += n
+        seq += 1
     # Greedy: the longest remainder opens a sequence, the longest ones that fit follow; a last gap is filled by cutting.
     sizes = np.zeros(window + 1, np.int64)
     for n, rows in left.items():
@@ -232,24 +254,16 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Nulls: a null text is an empty one, of the end id alone; rows with null ids are packed like any other.
-    Repeated rows are packed as often as they occur.  Empty tables give no piece.  Other columns are not read.
+    Repeated rows are packed as often as they occur.  Very long texts are encoded whole and cut at full windows.  Empty tables give
+    no piece.  Other columns are not read.
     """
     rows = cut(encoded(docs, id_col, text_col, tokenizer or tokenizer_path(), window))
-    bins = rows.where("rest_tokens > 0").groupBy("rest_tokens").count().toPandas()  # fewer than `window` rows
-    histogram = np.zeros(window + 1, np.int64)
-    histogram[bins["rest_tokens"].to_numpy(int)] = bins["count"].to_numpy(int)
-    total = int(histogram.sum())
-    combos = combinations_of(histogram, window)
-    counts = solve_counts(histogram, combos)
-    keep = counts * min(1.0, group_rows / max(total, 1)) >= 0.5  # rarer ones would round to none in every group
-    order = np.flatnonzero(keep)[np.argsort(-counts[keep], kind="stable")]
-    combos, counts = combos[order], counts[order]
-    groups = max(1, ceil(total / group_rows))
+    groups = max(1, ceil(rows.where("rest_tokens > 0").count() / group_rows))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf["rest_tokens"].to_numpy()
         ids = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<u4") for x, n in zip(pdf["rest"], lengths, strict=True)]
-        got = pack_group(lengths, combos, counts, len(pdf) / max(total, 1), window)
+        got = pack_group(lengths, window)
         at = np.array([g[0] for g in got], int)
         before = (pdf["doc_tokens"].to_numpy() - lengths)[at] if len(got) else np.zeros(0, int)
         return pd.DataFrame(

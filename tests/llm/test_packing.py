@@ -1,4 +1,5 @@
 from collections import defaultdict
+from itertools import combinations_with_replacement
 from zlib import crc32
 
 import numpy as np
@@ -59,22 +60,58 @@ def test_added_tokens_are_taken_from_raw_text():
     assert encode(texts[:1])[0].tolist() == [2443, 49407, 10011]
 
 
-def test_pack_group_uses_combinations_and_leaves_little_padding():
+def test_least_squares_against_brute_force():
+    """Small histograms: the solution against coordinate descent from many starts, the enumeration against loops."""
+    rng = np.random.default_rng(7)
+    for window in (8, 12, 20):
+        for _ in range(6):
+            histogram = rng.integers(0, 5, window + 1) * (rng.random(window + 1) < 0.7)
+            combos = P.combinations_of(histogram, window)
+            have = [n for n in range(1, window + 1) if histogram[n]]
+            want = {tuple(sorted(c, reverse=True)) for k in (2, 3) for c in combinations_with_replacement(have, k) if sum(c) == window}
+            assert {tuple(n for n in c if n) for c in combos.tolist()} == want and len(combos) == len(want)
+            if not want:
+                continue
+            a = np.zeros((window + 1, len(combos)))
+            for j, c in enumerate(combos.tolist()):
+                for n in c:
+                    a[n, j] += n > 0
+            target = np.where(np.arange(window + 1) > 0, histogram, 0).astype(float)
+            x = np.zeros(len(combos))
+            for _ in range(3000):
+                for j in range(len(combos)):
+                    x[j] = max(0.0, x[j] + a[:, j] @ (target - a @ x) / (a[:, j] @ a[:, j]))
+            got = P.solve_counts(histogram, combos, 500)
+            miss = lambda y: ((a @ y - target) ** 2).sum()
+            assert (got >= 0).all() and miss(got) <= miss(x) + 1e-3
+            assert abs(P.rounded(got).sum() - got.sum()) <= 0.5 and (P.rounded(got) >= 0).all()
+
+
+def cuts(out):
+    return len(out) - len({row for row, *_ in out})
+
+
+def test_the_plan_cuts_fewer_than_the_greedy_part_alone():
     rng = np.random.default_rng(3)
-    lengths = np.concatenate([rng.choice([512, 1536, 1024, 700], 400), rng.integers(1, 2048, 200)])
-    histogram = np.bincount(lengths, minlength=2049)
-    combos = P.combinations_of(histogram, 2048)
-    assert (combos.sum(axis=1) == 2048).all()
-    counts = P.solve_counts(histogram, combos)
-    fit = np.bincount(combos.T.ravel(), weights=np.tile(counts, 3) * (combos.T.ravel() > 0), minlength=2049)
-    assert (counts >= 0).all() and np.abs(fit - histogram)[1:].sum() < 0.9 * histogram.sum()
-    out = P.pack_group(lengths, combos, counts, 1.0, 2048)
-    got = np.zeros(len(lengths), int)
-    for row, _, n, _, _ in out:
-        got[row] += n
-    assert (got == lengths).all()
-    assert max(s for *_, s, _ in out) + 1 == -(-lengths.sum() // 2048)
-    assert len(out) < 1.5 * len(lengths)
+    for lengths in (
+        rng.integers(1, 2048, 8192), rng.integers(1, 2048, 2000), np.clip(rng.exponential(600, 8192).astype(int), 1, 2047),
+        np.clip(rng.lognormal(5, 0.8, 8192).astype(int), 1, 2047), np.concatenate([rng.choice([512, 1536, 1024, 700], 400), rng.integers(1, 2048, 200)]),
+    ):
+        out, alone = P.pack_group(lengths, 2048), P.pack_group(lengths, 2048, plan=False)
+        for x in (out, alone):
+            got = np.zeros(len(lengths), int)
+            for row, _, n, _, _ in x:
+                got[row] += n
+            assert (got == lengths).all() and max(s for *_, s, _ in x) + 1 == -(-lengths.sum() // 2048)
+        assert cuts(out) < 0.8 * cuts(alone)
+
+
+def test_planned_sequences_are_most_of_an_even_histogram():
+    histogram = np.bincount(np.random.default_rng(1).integers(1, 2048, 8192), minlength=2049)
+    rows = histogram.sum()
+    plan = P.planned(histogram, 2048)
+    assert all(sum(parts) == 2048 for parts in plan) and sum(map(len, plan)) + histogram.sum() == rows
+    assert histogram.sum() < 0.25 * rows
 
 
 def test_edges(spark):
