@@ -2,14 +2,14 @@
 
 A text is a set of paragraph digests: each line gives its first HEAD code points and then pieces of PIECE, so that
 an edit changes the pieces after it on its own line alone.  The digests are dealt by hash to blocks of LOAD at most on average, a
-power of two of them.  In a block every digest is added to one cell in each of TABLES tables; a cell holds the
-count of its digests, their XOR, and the XOR of their checks.
+power of two of them.  In a block every digest is added to one cell in each of TABLES tables; a cell holds the XOR of
+its digests and one number, the sum of their checks and as many times ONE.
 
 Peeling reads a cell that holds one digest alone, takes the digest out of its other cells, and goes on round by
 round.  A block is published with CELLS cells a table; where it doesn't peel alone, it is published again with
-twice as many and another hash, and so on.  A fingerprint thus tells its digests, whatever it is compared with.
+more and another hash, and so on.  A fingerprint thus tells its digests, whatever it is compared with.
 
-Two versions are compared block by block: that of fewer blocks is dealt anew to as many as the other's; cell
+Two versions are compared block by block, both dealt to as many blocks as their digests take together; cell
 is subtracted from cell, common digests vanish, and peeling recovers the others.  Where it gets stuck, the block is
 retried with the next size.  The likeness is 2 |A and B| / (|A| + |B|), from what the fingerprints hold alone.
 
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width
 
-HEAD, PIECE = 16, 256
+HEAD, PIECE = 16, 512
 TABLES = 4
-LOAD = 20
-CELLS, RETRIES = 10, 5  # cells of a table, doubled with each retry
-STUCK = "a block does not peel at any size"  # no set of digests that a hash could deal here gets stuck six times
+LOAD = 10
+CELLS = (6, 12, 15)  # cells of a table: of the first try, the second, and all others; a block has 64 at most
+RETRIES, ROUNDS = 9, 12
+STUCK = "a block does not peel at any size"  # no set of digests that a hash could deal here gets stuck ten times
+ONE = 1 << 40  # more than the checks of a cell can sum up to
 BUCKETS_PER_PARTITION = 4
 
 
@@ -42,108 +44,116 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
-def check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def item(digest: Column, sign: Column, size: Column) -> Column:
-    """A digest as a cell of its own, with its place in each table; every size has hashes of its own."""
-    made = lambda h: F.struct(
-        sign.alias("n"),
-        digest.alias("k"),
-        check(digest).alias("c"),
-        *[(F.shiftrightunsigned(h, 16 * t).bitwiseAND(F.lit(0xFFFF)) % width(size)).cast("int").alias(f"at{t}") for t in range(TABLES)],
-    )
-    return bound(F.xxhash64(digest, size.cast("long")), made)
+def mark(digest: Column) -> Column:
+    """What a digest adds to the number of a cell: ONE for the count, and a check of 32 bits."""
+    return F.xxhash64(digest, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(ONE)
 
 
 def width(size: Column) -> Column:
     """Cells of a table, by the number of the size."""
-    return F.lit(CELLS) * F.pow(F.lit(2.0), size.cast("double")).cast("int")
+    return F.when(size == 0, CELLS[0]).when(size == 1, CELLS[1]).otherwise(CELLS[2])
 
 
-def added(cell: Column, more: Column, sign: int) -> Column:
-    return F.struct(
-        (cell["n"] + sign * more["n"]).alias("n"), cell["k"].bitwiseXOR(more["k"]).alias("k"), cell["c"].bitwiseXOR(more["c"]).alias("c")
-    )
+def places(digest: Column, size: Column) -> Column:
+    """A bit for the digest's cell in each table; every size has hashes of its own."""
+    w = width(size)
+    at = lambda h, t: (F.shiftrightunsigned(h, 16 * t).bitwiseAND(F.lit(0xFFFF)) % w).cast("int") + t * w
+    bit = lambda h, t: F.call_function("shiftleft", F.lit(1).cast("long"), at(h, t))
+    return bound(F.xxhash64(digest, size.cast("long")), lambda h: sum([bit(h, t) for t in range(1, TABLES)], bit(h, 0)))
 
 
-def into(sketch: Column, found: Column, sign: int, size: Column) -> Column:
-    """A sketch after some items are added (sign 1) or taken out (sign -1)."""
+def held(codes: Column, values: Column, i: Column, start: Column, add) -> Column:
+    """start with the values added whose places are cell i."""
+    hit = lambda code: F.call_function("shiftrightunsigned", code, i).bitwiseAND(F.lit(1)) == 1
+    return F.aggregate(F.filter(values, lambda _, j: hit(codes[j])), start, add)
 
-    def one(t: int) -> Column:
-        return F.transform(
-            F.slice(sketch, t * width(size) + 1, width(size)),
-            lambda cell, j: F.aggregate(F.filter(found, lambda x: x[f"at{t}"] == j), cell, lambda acc, x: added(acc, x, sign)),
-        )
 
-    return F.concat(*[one(t) for t in range(TABLES)])
+XOR, ADD, TAKE = (lambda x, y: x.bitwiseXOR(y)), (lambda x, y: x + y), (lambda x, y: x - y)
 
 
 def sketch(found: Column, size: Column) -> Column:
-    """The cells of a set of digests."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    items = F.transform(found, lambda d: item(d, F.lit(1), size))
-    return bound(items, lambda some: into(F.array_repeat(zero, TABLES * width(size)), some, 1, size))
+    """struct(k, m), the cells of a set of digests: XORs and numbers."""
+    w = width(size)
+    cells = lambda codes, values, add: F.transform(F.sequence(F.lit(0), TABLES * w - 1), lambda i: held(codes, values, i, F.lit(0).cast("long"), add))
+    made = lambda codes: F.struct(cells(codes, found, XOR).alias("k"), cells(codes, F.transform(found, mark), ADD).alias("m"))
+    return bound(F.transform(found, lambda d: places(d, size)), made)
 
 
 def as_string(cells: Column) -> Column:
-    cell = lambda c: F.concat(F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["c"]), 8, "0"))
-    return F.base64(F.unhex(F.array_join(F.transform(cells, cell), "")))
+    number = lambda x: F.lpad(F.hex(x), 16, "0")
+    return F.base64(F.unhex(F.array_join(F.zip_with(cells["k"], cells["m"], lambda k, m: F.concat(number(k), number(m))), "")))
 
 
-def peeled(difference: Column, size: Column) -> Column:
+def peeled(cells: Column, size: Column) -> Column:
     """The digests left in a difference of sketches: struct(done, a, b); a: of the first version, b: of the second."""
     none = F.array().cast("array<bigint>")
-    start = F.struct(difference.alias("cells"), none.alias("a"), none.alias("b"), F.lit(False).alias("stop"))
+    start = F.struct(cells["k"].alias("k"), cells["m"].alias("m"), none.alias("a"), none.alias("b"), F.lit(False).alias("stop"))
 
     def step(acc: Column, _: Column) -> Column:
-        lone = F.array_distinct(F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == check(c["k"]))))
-        read = F.transform(lone, lambda c: item(c["k"], c["n"], size))
-        keys = lambda found, s: F.transform(F.filter(found, lambda x: x["n"] == s), lambda x: x["k"])
-        on = lambda found: F.struct(
-            F.when(F.size(found) == 0, acc["cells"]).otherwise(into(acc["cells"], found, -1, size)).alias("cells"),
-            F.concat(acc["a"], keys(found, 1)).alias("a"),
-            F.concat(acc["b"], keys(found, -1)).alias("b"),
-            (F.size(found) == 0).alias("stop"),
-        )
-        return F.when(acc["stop"], acc).otherwise(bound(read, on))
-
-    rounds = F.sequence(F.lit(1), TABLES * width(size))  # each round but the last reads a digest; it stops earlier
-    end = lambda acc: F.struct(
-        F.forall(acc["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)).alias("done"), acc["a"].alias("a"), acc["b"].alias("b")
-    )
-    return F.aggregate(rounds, start, step, end)
+        lone = lambda sign: F.array_distinct(F.filter(acc["k"], lambda k, i: acc["m"][i] == sign * mark(k)))
+
+        def on(x: Column) -> Column:
+            found, marks, codes = x["d"], x["m"], x["c"]
+            rid = lambda array, values, add: F.transform(array, lambda v, i: held(codes, values, i, v, add))
+            return F.when(F.size(found) == 0, F.struct(acc["k"].alias("k"), acc["m"].alias("m"), acc["a"].alias("a"), acc["b"].alias("b"), F.lit(True).alias("stop"))).otherwise(
+                F.struct(
+                    rid(acc["k"], found, XOR).alias("k"), rid(acc["m"], marks, TAKE).alias("m"),
+                    F.concat(acc["a"], x["a"]).alias("a"), F.concat(acc["b"], x["b"]).alias("b"), F.lit(False).alias("stop"),
+                )
+            )
+
+        def read(x: Column) -> Column:
+            signed = F.concat(F.transform(x["a"], mark), F.transform(x["b"], lambda k: -mark(k)))
+            found = F.concat(x["a"], x["b"])
+            return bound(F.struct(x["a"].alias("a"), x["b"].alias("b"), found.alias("d"), signed.alias("m"), F.transform(found, lambda d: places(d, size)).alias("c")), on)
 
+        return F.when(acc["stop"], acc).otherwise(bound(F.struct(lone(1).alias("a"), lone(-1).alias("b")), read))
 
-def published(found: Column) -> Column:
+    zero = lambda xs: F.forall(xs, lambda x: x == 0)
+    end = lambda acc: F.struct((zero(acc["k"]) & zero(acc["m"])).alias("done"), acc["a"].alias("a"), acc["b"].alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, end)
+
+
+def published(cells: Column, found: Column) -> Column:
     """A block's cells as text, of every size up to the first with which they peel."""
 
     def step(acc: Column, size: Column) -> Column:
-        more = lambda cells: F.struct(F.concat(acc["text"], F.array(as_string(cells))).alias("text"), peeled(cells, size)["done"].alias("done"))
-        return F.when(acc["done"], acc).otherwise(bound(sketch(found, size), more))
+        more = lambda c: F.struct(F.concat(acc["text"], F.array(as_string(c))).alias("text"), peeled(c, size)["done"].alias("done"))
+        return F.when(acc["done"], acc).otherwise(bound(F.when(size == 0, cells).otherwise(sketch(found, size)), more))
 
     start = F.struct(F.array().cast("array<string>").alias("text"), F.lit(False).alias("done"))
     text = lambda acc: F.when(acc["done"], F.array_join(acc["text"], ":")).otherwise(F.raise_error(F.lit(STUCK)))
     return F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), start, step, text)
 
 
-def difference(a: Column, b: Column) -> Column:
-    """struct(size, a, b): the digests of only one of two versions of a block, and the size that told them."""
+def difference(cells: Column, a: Column, b: Column) -> Column:
+    """struct(size, a, b): the digests of only one of two versions of a block, and the size that told them; cells: those
+    of the one less those of the other."""
 
     def step(acc: Column, size: Column) -> Column:
-        cells = F.zip_with(sketch(a, size), sketch(b, size), lambda x, y: added(x, y, -1))
+        larger = bound(F.struct(sketch(a, size).alias("a"), sketch(b, size).alias("b")), lambda x: F.struct(F.zip_with(x["a"]["k"], x["b"]["k"], XOR).alias("k"), F.zip_with(x["a"]["m"], x["b"]["m"], TAKE).alias("m")))
         got = lambda x: F.struct(size.alias("size"), x["done"].alias("done"), x["a"].alias("a"), x["b"].alias("b"))
-        return F.when(acc["done"], acc).otherwise(bound(peeled(cells, size), got))
+        return F.when(acc["done"], acc).otherwise(bound(peeled(F.when(size == 0, cells).otherwise(larger), size), got))
 
     none = F.array().cast("array<bigint>")
     start = F.struct(F.lit(0).alias("size"), F.lit(False).alias("done"), none.alias("a"), none.alias("b"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES)), start, step, lambda acc: F.when(acc["done"], acc).otherwise(F.raise_error(F.lit(STUCK))))
 
 
-def blocks_for(found: Column) -> Column:
-    """How many blocks a set of digests takes: a power of two."""
-    return F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(F.size(found), F.lit(1)) / float(LOAD))).cast("double"))).cast("int")
+def cells_of(rows: DataFrame, *by: str) -> DataFrame:
+    """rows (digest, side, ..) by the given columns: the cells of size 0, those of side 1 taken off those of side 0, and the digests a and b of either side."""
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumn("p", places(F.col("digest"), F.lit(0))).withColumn("m", F.when(F.col("side") == 0, 1).otherwise(-1) * mark(F.col("digest")))
+    here = lambda i, x: F.when(F.col("digest").isNotNull() & (F.col("p").bitwiseAND(F.lit(1 << i)) != 0), F.col(x))
+    ks = [F.coalesce(F.bit_xor(here(i, "digest")), zero) for i in range(TABLES * CELLS[0])]
+    ms = [F.coalesce(F.sum(here(i, "m")), zero) for i in range(TABLES * CELLS[0])]
+    of_side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("digest")))
+    return rows.groupBy(*by).agg(F.struct(F.array(*ks).alias("k"), F.array(*ms).alias("m")).alias("cells"), of_side(0).alias("a"), of_side(1).alias("b"), F.first("info", True).alias("info"))
+
+
+def blocks_for(n: Column) -> Column:
+    """How many blocks n digests take: a power of two."""
+    return F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / float(LOAD))).cast("double"))).cast("int")
 
 
 def with_next(docs: DataFrame, order: str, value: str) -> DataFrame:
@@ -197,33 +207,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "range", F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "other", "changed",
         (F.size("own") + F.size("changed")).alias("n_edited"), (F.size("own") + F.size("other")).alias("n_next"),
     )
-    rows = rows.withColumns({f"{c}_blocks": blocks_for(F.col(c)) for c in ("own", "other", "changed")})
+    rows = rows.withColumns({"blocks0": blocks_for(F.size("own")), "blocks1": blocks_for(F.size("changed")), "blocks2": blocks_for(F.col("n_edited")), "blocks3": blocks_for(F.col("n_next"))})
 
-    def dealt(kind: int, side: int, found: str, *blocks: str) -> Column:
-        n = F.greatest(*[F.col(f"{b}_blocks") for b in blocks]) if len(blocks) > 1 else F.col(f"{blocks[0]}_blocks")
-        block = lambda d: F.xxhash64(d, F.lit("block")).bitwiseAND(n.cast("long") - 1).cast("int")
-        return F.transform(found, lambda d: F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), block(d).alias("block"), d.alias("digest")))
+    info = F.struct("doc_id", "n_chars", "edited_sha256", "n_edited", "n_next")  # it goes with the first block alone
+    info_type = "struct<doc_id:bigint,n_chars:bigint,edited_sha256:string,n_edited:int,n_next:int>"
 
-    entries = F.concat(
-        dealt(0, 0, "own", "own"), dealt(1, 0, "changed", "changed"),
-        dealt(2, 0, "own", "own", "changed"), dealt(2, 1, "changed", "own", "changed"),
-        dealt(3, 0, "own", "own", "other"), dealt(3, 1, "other", "own", "other"),
-    )
+    def dealt(kind: int, side: int, found: str) -> Column:
+        block = lambda d: F.xxhash64(d, F.lit("block")).bitwiseAND(F.col(f"blocks{kind}").cast("long") - 1).cast("int")
+        return F.transform(found, lambda d: F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), block(d).alias("block"), d.alias("digest"), F.lit(None).cast(info_type).alias("info")))
+
+    entries = F.concat(dealt(0, 0, "own"), dealt(1, 0, "changed"), dealt(2, 0, "own"), dealt(2, 1, "changed"), dealt(3, 0, "own"), dealt(3, 1, "other"))
     # A block without digests has a row, too, so that fingerprints have all their blocks.
-    bare = lambda kind, blocks: F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda i: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("side"), i.alias("block"), F.lit(None).cast("long").alias("digest")))
-    entries = F.concat(entries, bare(0, "own_blocks"), bare(1, "changed_blocks"))
-    who = ["range", "row", "doc_id", "n_chars", "edited_sha256", "n_edited", "n_next"]
-    of_side = lambda s: F.sort_array(F.collect_list(F.when(F.col("e.side") == s, F.col("e.digest"))))
-    blocks = rows.select(*who, F.explode(entries).alias("e")).groupBy(*who, F.col("e.kind").alias("kind"), F.col("e.block").alias("block")).agg(of_side(0).alias("a"), of_side(1).alias("b"))
+    bare = lambda kind, blocks: F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda i: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("side"), i.alias("block"), F.lit(None).cast("long").alias("digest"), F.when((i == 0) & F.lit(kind == 0), info).alias("info")))
+    entries = F.concat(entries, bare(0, "blocks0"), bare(1, "blocks1"))
+    who = ["range", "row"]
+    blocks = cells_of(rows.select(*who, F.explode(entries).alias("e")).select(*who, "e.*"), *who, "kind", "block")
     blocks = blocks.withColumns(
-        {"text": F.when(F.col("kind") <= 1, published(F.col("a"))), "diff": F.when(F.col("kind") >= 2, difference(F.col("a"), F.col("b")))}
+        {
+            "text": F.when(F.col("kind") <= 1, published(F.col("cells"), F.col("a"))),
+            "diff": F.when(F.col("kind") >= 2, difference(F.col("cells"), F.col("a"), F.col("b"))),
+        }
     )
     of_kind = lambda k, x: F.when(F.col("kind") == k, x)
     string = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(of_kind(k, F.struct("block", "text")))), lambda x: x["text"]), ".")
     apart = lambda k: F.coalesce(F.sum(of_kind(k, F.size("diff.a") + F.size("diff.b"))), F.lit(0))
     near = lambda n, k: F.when(F.col(n) == 0, 1.0).otherwise((F.col(n) - F.col(f"apart{k}")) / F.col(n))
     whole = blocks.groupBy(*who).agg(
+        F.first("info", True).alias("info"),
         string(0).alias("fingerprint"), string(1).alias("edited_fingerprint"), apart(2).alias("apart2"), apart(3).alias("apart3"),
         F.coalesce(F.sum(of_kind(2, F.size("diff.b"))), F.lit(0)).alias("edited_only"), F.coalesce(F.max("diff.size"), F.lit(0)).alias("retries"),
     )
+    whole = whole.select("info.*", *[c for c in whole.columns if c != "info"])
     return whole.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("n_edited", 2).alias("near_edited"), near("n_next", 3).alias("near_next"), "edited_only", "retries")

@@ -25,18 +25,17 @@ def told(fingerprint):
     found = []
     for block in fingerprint.split("."):
         raw = base64.b64decode(block.split(":")[-1])
-        cells = [[int.from_bytes(raw[i : i + 2]), int.from_bytes(raw[i + 2 : i + 10]), int.from_bytes(raw[i + 10 : i + 14])] for i in range(0, len(raw), 14)]
+        cells = [list(struct.unpack(">qq", raw[i : i + 16])) for i in range(0, len(raw), 16)]
         size = len(cells) // P.TABLES
-        salt = (size // P.CELLS).bit_length() - 1
-        while lone := next((c for c in cells if c[0] == 1), None):
-            key = lone[1]
-            signed = key - (1 << 64) if key >> 63 else key
-            h = hashed(signed, struct.pack("<q", salt))
+        salt = block.count(":")
+        mark = lambda k: (hashed(k, b"check") & 0xFFFFFFFF) + P.ONE
+        while lone := next((k for k, m in cells if m == mark(k)), None):
+            h = hashed(lone, struct.pack("<q", salt))
             for t in range(P.TABLES):
                 c = cells[t * size + (h >> 16 * t & 0xFFFF) % size]
-                c[0], c[1], c[2] = c[0] - 1, c[1] ^ key, c[2] ^ (hashed(signed, b"check") & 0xFFFFFFFF)
-            found.append(key)
-        assert all(c == [0, 0, 0] for c in cells)
+                c[0], c[1] = c[0] ^ lone, c[1] - mark(lone)
+            found.append(lone)
+        assert all(c == [0, 0] for c in cells)
     return set(found)
 
 
@@ -77,7 +76,7 @@ def test_long_texts_need_retries_and_stay_exact(spark):
     a = "\n".join(f"paragraph {i}" for i in range(900))
     by = check(spark, [(1, a), (2, a.replace("7", "seven")), (3, "\n".join(f"other {i}" for i in range(700))), (4, a)])
     assert max(r["retries"] for r in by.values()) > 0
-    assert all(len(r["fingerprint"].split(".")) == 64 for i, r in by.items() if i in (1, 4))
+    assert all(len(r["fingerprint"].split(".")) == 128 for i, r in by.items() if i in (1, 4))
 
 
 def test_likeness_is_of_the_fingerprints_alone(spark):
