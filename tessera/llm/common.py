@@ -8,7 +8,8 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,23 +22,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset (tests on one machine) is a temporary folder made and set.
+    Only where it is unset on a local master (tests) is a temporary folder made and set; a cluster must name one.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf)
         atexit.register(shutil.rmtree, conf[len("file://") :], True)
     return conf
 
 
+_scratch: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends at a file that outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What cut() writes in here is deleted at the end, when nothing that reads it may be left to run."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, lengthened where a column of that name, in any case, is there already."""
     used = {t.lower() for t in taken}
@@ -71,12 +95,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is its smallest reachable node.
 
     Alternating large-star and small-star steps: every round is two grouped minima and two
     equi-joins, so no task holds a component; a hub's rows are split by AQE's skew join.
-    Rounds grow with the logarithm of the number of nodes.
+    Rounds grow with the logarithm of the number of nodes; they end when one changes nothing.
     """
     cur = cut(
         edges.where("a <> b")
@@ -85,7 +109,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     )
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     before = mark(cur)
-    for _ in range(max_rounds):
+    while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -96,8 +120,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
