@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,11 +12,41 @@ def exact(value: str | Column, scale: int = 2) -> Column:
 
 
 def salted_sum(df: DataFrame, by: list[str], value: Column, alias: str, salts: int = 16) -> DataFrame:
-    """A sum in two steps, for groups too hot for one task after the first combine."""
+    """A sum in two steps, where one task should not merge a hot group's partial sums alone.  Nulls are not added; a group of nulls
+    alone has a null sum; null keys are a group; an empty table gives none."""
     part = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))).groupBy(*by, "_salt").agg(F.sum(value).alias(alias))
     return part.groupBy(*by).agg(F.sum(alias).alias(alias))
 
 
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
-    """Counts by bins of the given width."""
+    """Counts by bins of the given width; nulls are a bin of their own, empty bins have no row."""
     return df.groupBy(F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def exact_quantiles(df: DataFrame, by: str, value: str, quantiles: list[float], accuracy: int = 1000) -> DataFrame:
+    """(by, q, value): exact quantiles of each group, interpolated between two neighbours; nulls don't count.
+
+    Approximate ones bracket each rank between two values.  Rows below a bracket are counted, combined before the
+    shuffle; only those inside, some five in `accuracy` of a group, are put in order.  No task holds a group.
+    A group of nulls alone has no row, an empty table none.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    spans = [(q, max(0.0, q - 2.5 / accuracy), min(1.0, q + 2.5 / accuracy)) for q in quantiles]
+    ends = F.percentile_approx("v", [x for _, low, high in spans for x in (low, high)], accuracy)
+    known = rows.groupBy(by).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), ends.alias("ends"))
+    # Where a rank lies by an end of the group, its bracket does, too; a small group is one bracket.
+    small = F.col("n") <= accuracy
+    low = lambda i, lo: F.when(small | (F.lit(lo) <= 1.0 / accuracy), F.col("least")).otherwise(F.col("ends")[2 * i])
+    high = lambda i, hi: F.when(small | (F.lit(hi) >= 1 - 1.0 / accuracy), F.col("most")).otherwise(F.col("ends")[2 * i + 1])
+    bracket = [F.struct(F.lit(q).alias("q"), low(i, lo).alias("low"), high(i, hi).alias("high")) for i, (q, lo, hi) in enumerate(spans)]
+    known = known.select(F.col(by).alias("_by"), "n", F.explode(F.array(*bracket)).alias("b")).select("_by", "n", "b.*")
+    met = rows.join(known, F.col(by).eqNullSafe(F.col("_by"))).where("v <= high")
+    below = met.groupBy(F.col("_by").alias("_of"), F.col("q").alias("_q")).agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
+    inside = met.where("v >= low").groupBy("_by", "q", "n", "v").agg(F.count("*").alias("times"))
+    ranked = inside.join(below, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("q") == F.col("_q")))
+    upto = F.sum("times").over(Window.partitionBy("_by", "q").orderBy("v")) + F.col("below")
+    at = F.col("q") * (F.col("n") - 1)
+    ranked = ranked.withColumn("upto", upto).withColumns({"at": at, "first": F.col("upto") - F.col("times")})
+    holds = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("upto")), F.col("v")))
+    ends = ranked.groupBy(F.col("_by").alias(by), "q", "at").agg(holds(F.floor("at")).alias("a"), holds(F.ceil("at")).alias("b"))
+    return ends.select(by, "q", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))

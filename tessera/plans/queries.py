@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine
-from tessera.operators.aggregates import exact, histogram, salted_sum
+from tessera.operators.aggregates import exact, exact_quantiles, histogram, salted_sum
 from tessera.operators.joins import as_of_join, range_join, salted_join
 from tessera.operators.windows import gap_filled, latest, sessions, top_k
 
@@ -89,11 +89,13 @@ def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of_join(bought, clicks, "ts", ["user_id"], ["click_id"]).na.fill(-1, ["click_id"]).select("event_id", "user_id", "click_id")
 
 
-@query("""SELECT e.event_id, p.p_partkey FROM events e JOIN part p ON floor(e.value) >= p.p_size AND floor(e.value) < p.p_size + 3 AND p.p_partkey <= 20""")
+@query("""SELECT p_partkey, count(*) AS n_events, sum(event_id)::BIGINT AS event_ids FROM events JOIN part ON floor(value) >= p_size AND floor(value) < p_size + 3 GROUP BY 1""")
 def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events").select("event_id", F.floor("value").alias("v"))
-    part = read(spark, sf_dir, "part").where("p_partkey <= 20").select("p_partkey", "p_size")
-    return range_join(events, part, F.col("v"), F.col("p_size"), F.col("p_size") + 3, 4).select("event_id", "p_partkey")
+    """Events in a band from each part's size: events are combined by whole value before they meet the parts."""
+    events = read(spark, sf_dir, "events").groupBy(F.floor("value").alias("v")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    met = range_join(events, part, F.col("v"), F.col("p_size"), F.col("p_size") + 3, 4)
+    return met.groupBy("p_partkey").agg(F.sum("n").alias("n_events"), F.sum("ids").alias("event_ids"))
 
 
 @query("""SELECT event_type, c_mktsegment, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY 1, 2""")
@@ -135,9 +137,10 @@ def agg_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.5), 4) AS median, round(quantile_cont(c_acctbal, 0.9), 4) AS p90, min(c_acctbal) AS low FROM customer GROUP BY 1""")
 def agg_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
-        F.round(F.median("c_acctbal"), 4).alias("median"), F.round(F.percentile("c_acctbal", F.lit(0.9)), 4).alias("p90"), F.min("c_acctbal").alias("low")
-    )
+    customer = read(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal")
+    at = exact_quantiles(customer, "c_mktsegment", "c_acctbal", [0.5, 0.9]).groupBy("c_mktsegment").pivot("q", [0.5, 0.9]).agg(F.round(F.first("value"), 4))
+    low = customer.groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("low"))
+    return low.join(at, "c_mktsegment", "left").select("c_mktsegment", F.col("`0.5`").alias("median"), F.col("`0.9`").alias("p90"), "low")
 
 
 @query("""SELECT floor(o_totalprice / 10000)::BIGINT AS bin, count(*) AS n FROM orders GROUP BY 1""")
@@ -189,9 +192,9 @@ def window_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM events""")
 def window_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read(spark, sf_dir, "events").createOrReplaceTempView("window_range_events")
     return spark.sql(
-        "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM window_range_events"
+        "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM {events}",
+        events=read(spark, sf_dir, "events"),
     )
 
 
@@ -271,9 +274,12 @@ def scalar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) GROUP BY 1""")
+@query("""SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents) GROUP BY 1""")
 def text_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")
+    """Whole words, A-Z lower-cased: digits, letters and whatever lies outside ASCII."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.explode(F.array_remove(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")).alias("word")
     return read(spark, sf_dir, "documents").select(words).groupBy("word").agg(F.count("*").alias("n"))
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -48,3 +53,37 @@ def click_to_purchase(events: DataFrame, within: str = "1 hour", late: str = "1
     b = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), F.col("event_id").alias("purchase_id"))
     near = F.expr(f"click_user = user_id AND bought >= clicked AND bought <= clicked + INTERVAL {within}")
     return a.join(b, near).select("user_id", "click_id", "purchase_id", "clicked", "bought")
+
+
+def nth_of_user(events: DataFrame) -> DataFrame:
+    """Each event with its number among its user's, in order of time: custom state of one count for each user.
+
+    Events must come in order of time from batch to batch, as event_stream() reads them; inside a batch they are sorted."""
+    if not events.isStreaming:
+        along = Window.partitionBy("user_id").orderBy("ts", "event_id")
+        return events.select("user_id", "event_id", F.row_number().over(along).cast("long").alias("nth"))
+
+    def number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        batch = pd.concat(frames).sort_values(["ts", "event_id"])
+        state.update((n + len(batch),))
+        yield pd.DataFrame({"user_id": key[0], "event_id": batch["event_id"], "nth": range(n + 1, n + len(batch) + 1)})
+
+    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(
+        number, "user_id long, event_id long, nth long", "n long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def keep_latest(events: DataFrame, path: str, checkpoint: str, by: str = "user_id") -> StreamingQuery:
+    """A sink of whole tables: after each batch a new folder under path, named by the batch, holds the latest event of each key.
+
+    A batch that is run again after a failure writes its own folder anew, so every batch counts once."""
+    row = [c for c in events.columns if c != by]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        if number:
+            batch = batch.unionByName(batch.sparkSession.read.schema(events.schema).parquet(f"{path}/{number - 1}"))
+        latest = batch.groupBy(by).agg(F.max_by(F.struct(*row), F.struct("ts", "event_id")).alias("r")).select(by, "r.*")
+        latest.select(*events.columns).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
+from tessera.operators.aggregates import exact_quantiles, histogram, salted_sum
 from tessera.operators.joins import as_of_join, range_join, salted_join
-from tessera.operators.windows import gap_filled, latest, top_k
+from tessera.operators.windows import gap_filled, latest, sessions, top_k
 from tessera.sources import files
 
 
@@ -34,6 +35,27 @@ def test_windows(spark):
     assert [r.v for r in gap_filled(days, "k", "d", "v").orderBy("d").collect()] == [1, 1, 1, 4]
 
 
+def test_exact_quantiles(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(k, rng.choice([1.0, 2.0, rng.random() * 1000])) for k in ("a", "b", None) for _ in range(3000)] + [("c", 5.0), ("d", None), ("e", 1.0), ("e", 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {(r.k, r.q): r.value for r in exact_quantiles(df, "k", "x", [0.0, 0.1, 0.5, 0.999, 1.0], 100).collect()}
+    want = df.where("x is not null").groupBy("k").agg(F.percentile("x", F.array(*map(F.lit, [0.0, 0.1, 0.5, 0.999, 1.0]))).alias("v")).collect()
+    assert len(got) == 5 * len(want) and all(abs(got[r.k, q] - v) < 1e-9 for r in want for q, v in zip([0.0, 0.1, 0.5, 0.999, 1.0], r.v, strict=True))
+    assert exact_quantiles(df.limit(0), "k", "x", [0.5]).count() == 0
+
+
+def test_sessions_histogram_and_salted_sum(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 5), ("a", 30), (None, 1), ("b", None)], "k string, m int").withColumn("t", F.timestamp_seconds(F.col("m") * 60))
+    got = sorted((str(r.k), r.n_events, (r.ends - r.begins).seconds // 60) for r in sessions(df, "k", "t", "10 minutes").collect())
+    assert got == [("None", 1, 10), ("a", 1, 10), ("a", 2, 15)]
+    assert sorted(((r.bin is None, r.bin or 0), r.n) for r in histogram(df, "m", 10).collect()) == [((False, 0), 3), ((False, 3), 1), ((True, 0), 1)]
+    assert sorted((str(r.k), r.s) for r in salted_sum(df, ["k"], F.col("m"), "s").collect() if r.s is not None) == [("None", 1), ("a", 35)]
+    assert sessions(df.limit(0), "k", "t", "1 minute").count() == histogram(df.limit(0), "m", 1).count() == 0
+
+
 def test_formats_keep_values(spark, tmp_path):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     for kind in files.OPTIONS:
