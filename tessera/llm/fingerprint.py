@@ -9,8 +9,8 @@ Peeling reads a cell that holds one digest alone, takes the digest out of its ot
 round.  A block is published with CELLS cells a table; where it doesn't peel alone, it is published again with
 more and another hash, and so on.  A fingerprint thus tells its digests, whatever it is compared with.
 
-Two versions are compared block by block, both dealt to as many blocks as their digests take together; cell
-is subtracted from cell, common digests vanish, and peeling recovers the others.  Where it gets stuck, the block is
+Two versions are compared block by block, both dealt to as many blocks as their digests take together (half as many for a
+version and its edited form, which have most in common); cell is subtracted from cell, common digests vanish, and peeling recovers the others.  Where it gets stuck, the block is
 retried with the next size.  The likeness is 2 |A and B| / (|A| + |B|), from what the fingerprints hold alone.
 
 Digests are rows while they are dealt, so work and memory grow in proportion to a text's length.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width
 
-HEAD, PIECE = 16, 512
+HEAD, PIECE = 32, 1024
 TABLES = 4
 LOAD = 10
 CELLS = (6, 12, 15)  # cells of a table: of the first try, the second, and all others; a block has 64 at most
@@ -90,7 +90,9 @@ def peeled(cells: Column, size: Column) -> Column:
     start = F.struct(cells["k"].alias("k"), cells["m"].alias("m"), none.alias("a"), none.alias("b"), F.lit(False).alias("stop"))
 
     def step(acc: Column, _: Column) -> Column:
-        lone = lambda sign: F.array_distinct(F.filter(acc["k"], lambda k, i: acc["m"][i] == sign * mark(k)))
+        # The count is looked at first, which leaves few checks to be worked out.
+        one = lambda m: (m >= F.lit(ONE)) & (m < F.lit(2 * ONE))
+        lone = lambda sign: F.array_distinct(F.filter(acc["k"], lambda k, i: one(sign * acc["m"][i]) & (sign * acc["m"][i] == mark(k))))
 
         def on(x: Column) -> Column:
             found, marks, codes = x["d"], x["m"], x["c"]
@@ -114,12 +116,27 @@ def peeled(cells: Column, size: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, end)
 
 
+def peels(codes: Column) -> Column:
+    """Do the cells of digests with these places peel?  A digest alone in a cell goes, until none is left or none is alone."""
+    start = F.struct(codes.alias("left"), F.lit(False).alias("stop"))
+    none = F.struct(F.lit(0).cast("long").alias("once"), F.lit(0).cast("long").alias("more"))
+    count = lambda acc, c: F.struct(acc["once"].bitwiseOR(c).alias("once"), acc["more"].bitwiseOR(acc["once"].bitwiseAND(c)).alias("more"))
+
+    def step(acc: Column, _: Column) -> Column:
+        alone = F.aggregate(acc["left"], none, count, lambda x: x["once"].bitwiseAND(F.bitwise_not(x["more"])))
+        rest = bound(alone, lambda cells: F.filter(acc["left"], lambda c: c.bitwiseAND(cells) == 0))
+        return F.when(acc["stop"], acc).otherwise(bound(rest, lambda r: F.struct(r.alias("left"), ((F.size(r) == 0) | (F.size(r) == F.size(acc["left"]))).alias("stop"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.size(acc["left"]) == 0)
+
+
 def published(cells: Column, found: Column) -> Column:
     """A block's cells as text, of every size up to the first with which they peel."""
 
     def step(acc: Column, size: Column) -> Column:
-        more = lambda c: F.struct(F.concat(acc["text"], F.array(as_string(c))).alias("text"), peeled(c, size)["done"].alias("done"))
-        return F.when(acc["done"], acc).otherwise(bound(F.when(size == 0, cells).otherwise(sketch(found, size)), more))
+        codes = F.transform(found, lambda d: places(d, size))
+        text = as_string(F.when(size == 0, cells).otherwise(sketch(found, size)))
+        return F.when(acc["done"], acc).otherwise(F.struct(F.concat(acc["text"], F.array(text)).alias("text"), bound(codes, peels).alias("done")))
 
     start = F.struct(F.array().cast("array<string>").alias("text"), F.lit(False).alias("done"))
     text = lambda acc: F.when(acc["done"], F.array_join(acc["text"], ":")).otherwise(F.raise_error(F.lit(STUCK)))
@@ -207,7 +224,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "range", F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "other", "changed",
         (F.size("own") + F.size("changed")).alias("n_edited"), (F.size("own") + F.size("other")).alias("n_next"),
     )
-    rows = rows.withColumns({"blocks0": blocks_for(F.size("own")), "blocks1": blocks_for(F.size("changed")), "blocks2": blocks_for(F.col("n_edited")), "blocks3": blocks_for(F.col("n_next"))})
+    rows = rows.withColumns({"blocks0": blocks_for(F.size("own")), "blocks1": blocks_for(F.size("changed")), "blocks2": blocks_for(F.ceil(F.col("n_edited") / 2)), "blocks3": blocks_for(F.col("n_next"))})
 
     info = F.struct("doc_id", "n_chars", "edited_sha256", "n_edited", "n_next")  # it goes with the first block alone
     info_type = "struct<doc_id:bigint,n_chars:bigint,edited_sha256:string,n_edited:int,n_next:int>"
