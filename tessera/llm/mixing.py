@@ -111,9 +111,9 @@ def learned(docs: DataFrame, domains: list[str], max_labelled: int) -> Classifie
             yield pa.RecordBatch.from_arrays([*part, pa.array(at.astype(np.int32)), pa.array(own[at])], ["half", "domain", "bin", "n"])
 
     # At most halves x domains x (BINS + 1) sums reach the driver, whatever the input.
-    sums = sample.mapInArrow(run, "half int, domain int, bin int, n long").groupBy("half", "domain", "bin").agg(F.sum("n").alias("n")).toPandas()
+    sums = sample.mapInArrow(run, "half int, domain int, bin int, n long").groupBy("half", "domain", "bin").agg(F.sum("n").alias("n")).toArrow()
     own = np.zeros((HALVES, len(domains), BINS + 1))
-    own[tuple(sums[c].to_numpy(int) for c in ("half", "domain", "bin"))] = sums["n"].to_numpy(float)
+    own[tuple(sums[c].to_numpy() for c in ("half", "domain", "bin"))] = sums["n"].to_numpy()
     prior = own[:, :, BINS].sum(axis=0) + 0.5
     words = np.zeros((HALVES, BINS, len(domains)), np.float32)
     for h in range(HALVES):
