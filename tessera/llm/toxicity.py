@@ -17,6 +17,7 @@ one counts.  Rows of the held-out fold are never trained on, and only the text i
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, latest_for_worker
 
 FOLDS = 5
 MAX_LABELLED = 40_000
@@ -35,6 +36,7 @@ MAX_FEATURES = 50_000
 MIN_SUPPORT = 3
 PREFIXES = (4, 5, 6)
 LEAST_WEIGHT = 1.5
+TEXTS = "texts"  # counts the texts themselves among the features
 
 # The letters of the language model beside "other letter" and the word's edge.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
@@ -73,27 +75,15 @@ def symbols(word: str) -> list[int]:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n): letters-only words of all texts."""
+    """(word, n): letters-only words of all texts.  Tokens are counted before any of them is looked at."""
+    counted = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words: Counter[str] = Counter()
-            for token, n in counts.items():
-                if (w := token.strip(EDGE + "!$+|@")).isalpha():
-                    words[w] += n
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-
         for b in batches:
-            for t in b.column(0):
-                counts.update((t.as_py() or "").lower().split())
-                if len(counts) > 500_000:
-                    yield flush()
-        yield flush()
+            words = [t.strip(EDGE + "!$+|@") for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), b.column(1)], ["word", "n"]).filter(pa.array([w.isalpha() for w in words], pa.bool_()))
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(run, "word string, n long")
 
 
 @dataclass
@@ -130,9 +120,9 @@ def char_model(words: DataFrame) -> CharModel:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["gram", "n"])
 
-    rows = words.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = words.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SYMBOLS**3)
-    counts[rows["gram"].to_numpy(int)] = rows["n"].to_numpy(float)
+    counts[rows["gram"].to_numpy()] = rows["n"].to_numpy()
     return CharModel.of(counts)
 
 
@@ -176,20 +166,21 @@ def tokens(text: str | None) -> list[str]:
     """Lower-case tokens; spelled-out runs are also joined."""
     text = (text or "").lower()
     out = text.split()
-    if sum(1 for n in map(len, out) if n == 1) > 2:
+    if list(map(len, out)).count(1) > 2:
         out += [w for m in SPELLED.findall(text) for w in joined(m)]
     return out
 
 
-class Reader:
-    """Token to feature keys, through the channel where a token is noisy; restored words are kept in bounded memory."""
+def features_of(word: str) -> list[str]:
+    return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
+
 
-    def __init__(self, model: CharModel, most: int = 200_000):
-        from xxhash import xxh3_64_intdigest
+class Reader:
+    """Token to features, through the channel where a token is noisy; restored words are kept in bounded memory."""
 
+    def __init__(self, model: CharModel, most: int = 100_000):
         self.restored: dict[str, str] = {}
-        self.most = most
-        self.model, self.key = model, lambda s: xxh3_64_intdigest(s) >> 1
+        self.most, self.model = most, model
 
     def words(self, token: str) -> set[str]:
         w = core(token)
@@ -203,12 +194,8 @@ class Reader:
             self.restored[w] = restore(w, self.model)
         return parts | {self.restored[w]}
 
-    def __call__(self, token: str) -> list[int]:
-        found = []
-        for w in self.words(token):
-            if len(w) >= 3:
-                found += [self.key("=" + w), *(self.key(f"^{w[:n]}") for n in PREFIXES if len(w) >= n)]
-        return found
+    def __call__(self, token: str) -> list[str]:
+        return [f for w in self.words(token) if len(w) >= 3 for f in features_of(w)]
 
 
 def shingle_min(words: list[str]) -> int:
@@ -223,27 +210,32 @@ STATS = 6
 class Judge:
     """Inputs of the logistic regression from a table of weighted features."""
 
-    def __init__(self, weights: dict[int, float], model: CharModel, most: int = 800_000):
+    def __init__(self, weights: dict[str, float], model: CharModel, most: int = 400_000):
         self.weights, self.read, self.most = weights, Reader(model), most
+        self.heads = {f[1:4] for f in weights}  # what a word begins with that has a weight
         self.seen: set[str] = set()
         self.hot: dict[str, float] = {}
 
+    def weight(self, token: str) -> float:
+        words = [w for w in self.read.words(token) if w[:3] in self.heads]
+        return max((self.weights.get(f, 0.0) for w in words for f in features_of(w)), default=0.0)
+
     def __call__(self, text: str | None) -> list[float]:
         toks = tokens(text)
         if len(self.seen) > self.most:
             self.seen.clear()
             self.hot.clear()
-        new = set(toks) - self.seen
+        own, hot = set(toks), self.hot
+        new = own - self.seen
         for t in new:
-            if (w := max((self.weights.get(k, 0.0) for k in self.read(t)), default=0.0)) > 0:
-                self.hot[t] = w
+            if (w := self.weight(t)) > 0:
+                hot[t] = w
         self.seen |= new
-        hot = self.hot
-        hits = [(t, hot[t]) for t in toks if t in hot]
-        best = max((w for _, w in hits), default=0.0)
-        each = dict(hits)
+        each = {t: hot[t] for t in own & hot.keys()}
+        hits = sum(t in each for t in toks) if each else 0
+        best = max(each.values(), default=0.0)
         three = sum(sorted(each.values())[-3:])
-        return [1.0, np.log1p(len(hits)), np.log1p(len(each)), best, three, len(hits) / (len(toks) + 20.0) * 20.0]
+        return [1.0, np.log1p(hits), np.log1p(len(each)), best, three, hits / (len(toks) + 20.0) * 20.0]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -283,7 +275,7 @@ def chosen(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
 @dataclass
 class ToxicityModel:
     chars: CharModel
-    weights: dict[int, float]
+    weights: dict[str, float]
     logistic: np.ndarray
 
 
@@ -295,41 +287,41 @@ def feature_weights(t: np.ndarray, c: np.ndarray, n_t: int, n_c: int) -> np.ndar
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Fit the channel's model on all texts and the score on labelled ones.  Without both labels every score is the prior."""
-    chars = char_model(cut(word_counts(docs)))
+    chars, name = char_model(cut(word_counts(docs))), uuid.uuid4().hex
     rows = chosen(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, max_labelled)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, counts = Reader(chars), Counter()
+        read, counts = latest_for_worker("toxicity", f"reader {name}", lambda: Reader(chars)), Counter()
 
         def flush() -> pa.RecordBatch:
-            at = [pa.array([k[i] for k in counts], pa.int64()) for i in range(2)]
+            at = [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64())]
             out = pa.RecordBatch.from_arrays([*at, pa.array(list(counts.values()), pa.int64())], ["feature", "kind", "n"])
             counts.clear()
             return out
 
         for b in batches:
             for t, kind in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                counts[(-1, kind)] += 1
+                counts[(TEXTS, kind)] += 1
                 counts.update((k, kind) for k in {k for w in set(tokens(t.as_py())) for k in read(w)})
-                if len(counts) > 300_000:
+                if len(counts) > 100_000:
                     yield flush()
         yield flush()
 
     sums = cut(
-        rows.mapInArrow(features, "feature long, kind long, n long")
+        rows.mapInArrow(features, "feature string, kind long, n long")
         .groupBy("feature").agg(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).alias(k) for i, k in enumerate("ct")])
     )
-    total = sums.where("feature = -1").toPandas()
+    total = sums.where(F.col("feature") == TEXTS).toPandas()
     n_c, n_t = (int(total[k].sum()) for k in "ct")
     if not n_t or not n_c:
         prior = float(np.log((n_t + 0.5) / (n_c + 0.5))) if n_t + n_c else -2.0
         return ToxicityModel(chars, {}, np.array([prior] + [0.0] * (STATS - 1)))
     top = (
-        sums.where((F.col("feature") >= 0) & (F.col("t") >= MIN_SUPPORT) & (F.col("t") / float(n_t + 1) > 3 * F.col("c") / float(n_c + 1)))
+        sums.where((F.col("feature") != TEXTS) & (F.col("t") >= MIN_SUPPORT) & (F.col("t") / float(n_t + 1) > 3 * F.col("c") / float(n_c + 1)))
         .orderBy(F.desc(F.col("t") - F.col("c") * (n_t / n_c)), "feature").limit(MAX_FEATURES).toPandas()
     )
 
-    def table(t: np.ndarray, c: np.ndarray) -> dict[int, float]:
+    def table(t: np.ndarray, c: np.ndarray) -> dict[str, float]:
         w = feature_weights(np.maximum(t, 0), np.maximum(c, 0), n_t, n_c)
         good = (t >= MIN_SUPPORT) & (w >= LEAST_WEIGHT)
         return dict(zip(top["feature"][good].tolist(), w[good].tolist(), strict=True))
@@ -338,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     without_own = [table(t, c - 1), table(t - 1, c)]  # for a clean and for a toxic text
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judges = [Judge(w, chars) for w in without_own]
+        judges = latest_for_worker("toxicity", f"judges {name}", lambda: [Judge(w, chars) for w in without_own])
         for b in batches:
             x = [judges[y](t.as_py()) for t, y in zip(b.column(1), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
@@ -350,10 +342,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted; null and empty texts have the score of a text without signs."""
-    spread = docs.sparkSession.sparkContext.broadcast((model.chars.table, model.weights, model.logistic))  # of fixed size: the trigram table and at most MAX_FEATURES weights
+    spread, name = shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, logistic = loaded(spread.value)
+        judge, logistic = latest_for_worker("toxicity", f"judge {name}", lambda: loaded(spread.value))
         for b in batches:
             s = scores(judge, logistic, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -362,6 +354,11 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def shared(docs: DataFrame, model: ToxicityModel) -> tuple:
+    """The model as a broadcast of fixed size (the trigram table and at most MAX_FEATURES weights), and a name for it."""
+    return docs.sparkSession.sparkContext.broadcast((model.chars.table, model.weights, model.logistic)), uuid.uuid4().hex
+
+
 def loaded(parts: tuple) -> tuple[Judge, np.ndarray]:
     chars, weights, logistic = parts
     return Judge(weights, CharModel(chars)), logistic
@@ -374,10 +371,10 @@ def scores(judge: Judge, logistic: np.ndarray, texts: pa.Array) -> np.ndarray:
 
 def kept(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold."""
-    spread = docs.sparkSession.sparkContext.broadcast((model.chars.table, model.weights, model.logistic))
+    spread, name = shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, logistic = loaded(spread.value)
+        judge, logistic = latest_for_worker("toxicity", f"judge {name}", lambda: loaded(spread.value))
         for b in batches:
             yield b.filter(pa.array(scores(judge, logistic, b.column(text_col)) < threshold))
 
@@ -388,7 +385,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     """Train on docs and labels, then score every row of docs.
 
     Nulls: a null text is an empty one; a null id is not held out and is never trained on; rows of labels with
-    null ids or labels are ignored, repeated ones count once.  Repeated rows of docs each get a row.  Empty tables
+    null ids or labels are ignored, repeated ones count once.  Repeated rows of docs each get a row, equal texts an
+    equal score.  Very long texts are scored whole.  Features of equal weight are taken in their own order.  Empty tables
     give empty results.  Other columns are not read.
     """
     return score(docs, train(docs, labels, max_labelled))

@@ -34,6 +34,41 @@ def test_channel_restores_words(spark):
     assert X.core("fine!!!") == "fine" and X.core("'quoted,'") == "quoted"
 
 
+def every_path(token, before=""):
+    """(word, cost) of every path through a token's lattice."""
+    if not token:
+        return [("", 0.0)]
+    ch, rest = token[0], every_path(token[1:], token[0])
+    if ch.isalpha():
+        first = [(ch, 0.0)] + [("", X.REPEAT)] * (ch == before)
+    else:
+        letters = X.LOOKS.get(ch, "")
+        first = [(c, X.SUBSTITUTE) for c in letters] + [("", X.SKIP_LOOK if letters else X.LEAVE_OUT)]
+    return [(a + b, x + y) for a, x in first for b, y in rest]
+
+
+def test_viterbi_against_all_paths(spark):
+    words = "stupid idiot worthless trash loser pathetic the and of moron scum ill all good bill look tool".split()
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(20)], "doc_id long, text string")
+    model = X.char_model(X.word_counts(docs))
+
+    def value(word, cost):
+        p = q = 0
+        total = -cost
+        for c in [*X.symbols(word), 0]:
+            total += float(model.table[p, q, c])
+            p, q = q, c
+        return total
+
+    rng = random.Random(12)
+    tokens = ["1d10t", "m00ron", "1|!!", "w0rthle$$", "aabbcc", "sstttuup1d", "-a-", "§", ""]
+    tokens += ["".join(rng.choice("abilosstt013!$|@-éz") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    for token in tokens:
+        best = max(value(*path) for path in every_path(token))
+        got = X.restore(token, model)
+        assert abs(max(value(w, c) for w, c in every_path(token) if w == got) - best) < 1e-3, token
+
+
 def test_every_form_of_the_channel_is_decoded(spark):
     docs = spark.createDataFrame([(i, "stupid idiot moron loser scum the and of") for i in range(20)], "doc_id long, text string")
     reader = X.Reader(X.char_model(X.word_counts(docs)))
@@ -77,6 +112,27 @@ def test_whole_table(spark):
     assert (got[got.toxic == 1].predicted == 1).mean() > 0.6
 
 
+def test_held_out_rows_of_a_larger_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = X.toxicity(docs, labels).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.88  # recall
+    assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.88  # precision
+
+
+def test_long_texts_ties_and_repeated_rows(spark):
+    docs, labels = corpus(spark)
+    long = "rantel morsip " * 200_000
+    more = [(1000, long), (1001, long + "grumlet foozle snarkle"), (1002, "foozle grumlet"), (1002, "foozle grumlet"), (1003, "foozle grumlet"), (1002, "rantel")]
+    both = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    repeated = labels.unionByName(labels)  # a label given twice counts once
+    got = X.toxicity(both, repeated).where("doc_id >= 1000").collect()
+    assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 1003} | {max(r.score for r in got if r.doc_id == 1002)}) == 1
+    assert sorted(r.predicted for r in got if r.doc_id == 1002) == [0, 1, 1] and [r.predicted for r in got if r.doc_id == 1000] == [0]
+    assert [r.score for r in X.toxicity(docs, repeated).orderBy("doc_id").collect()] == [r.score for r in X.toxicity(docs, labels).orderBy("doc_id").collect()]
+
+
 def test_empty_tables(spark):
     docs, labels = corpus(spark, 8)
     assert X.toxicity(docs.limit(0), labels).count() == 0
