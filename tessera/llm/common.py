@@ -75,11 +75,14 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 
 
 def for_worker(name: str, make: Callable):
-    """make(), once for each Python worker: functions travel by value, so their own globals end with a task."""
-    kept = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    """make(), once for each Python worker: functions travel by value, so their own globals end with a task.
+
+    A worker outlives queries, so it keeps the memory of one name alone: another operator's goes when this one's is made."""
+    kept = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker"))
+    if getattr(kept, "name", None) != name:
+        kept.name, kept.value = name, None
+        kept.value = make()
+    return kept.value
 
 
 def latest_for_worker(name: str, key: str, make: Callable):

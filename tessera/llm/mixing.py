@@ -38,7 +38,7 @@ REST = "(rest)"  # the domains beyond MAX_DOMAINS share one membership and the s
 class Bins:
     """Words to bins, the same in every process."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 400_000):
         self.known, self.most = {}, most
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
