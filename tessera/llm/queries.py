@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprint, html_extract, license_scan, line_dedup, mixing, packing, simhash, substring_dedup, toxicity
+from . import embedding_dedup, fingerprint, html_extract, license_scan, line_dedup, mixing, packing, simhash, spelling, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -50,6 +50,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_dedup,
         op9_html_extract,
         op10_line_dedup,
+        op11_token_counts,
+        op12_spelling_groups,
     )
 }
 
