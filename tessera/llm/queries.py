@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprint, html_extract, license_scan, line_dedup, mixing, packing, simhash, spelling, substring_dedup, token_counts, toxicity
+from . import embedding_dedup, fingerprint, html_extract, lexical_search, license_scan, line_dedup, mixing, packing, simhash, spelling, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_line_dedup,
         op11_token_counts,
         op12_spelling_groups,
+        op13_lexical_search,
     )
 }
 
@@ -81,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.oracle(),
     "op8_embedding_dedup": embedding_dedup.oracle(),
     "op10_line_dedup": line_dedup.oracle(),
+    "op13_lexical_search": lexical_search.oracle(),
 }
