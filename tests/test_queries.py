@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import analytics, queries  # noqa: F401  registers them
+from tessera.plans import advanced, analytics, queries  # noqa: F401  registers them
 from tessera.plans.registry import ORACLES, QUERIES
 
 from .conftest import MID, SMALL
