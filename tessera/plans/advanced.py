@@ -7,6 +7,10 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.aggregates import exact
+from tessera.operators.frames import groups_frame
+from tessera.operators.samples import bottom_k
+from tessera.operators.sketches import bitmap_counts, bitmaps, estimates, heavy_hitters, merged_bitmaps, merged_states, overlap, sketch_states
 from tessera.sources import arrow_log
 from tessera.sources.shared import shared_folder
 
@@ -22,3 +26,82 @@ def source_connector(spark: SparkSession, sf_dir: str) -> DataFrame:
     read(spark, sf_dir, "events").repartitionByRange(F.col("ts")).write.format("arrow_log").mode("append").save(path)
     kept = arrow_log.scan(spark, path, ("ts", ">=", datetime.datetime(2024, 1, 8)), ("event_type", "in", ["click", "purchase", "view"]))
     return kept.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query()
+def agg_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily states of orders, stored and merged by month: customers and prices without a second look at the rows."""
+    orders, path = read(spark, sf_dir, "orders"), shared_folder(spark, "states")
+    daily = sketch_states(orders.withColumn("day", F.to_date("o_orderdate")), ["day", "o_orderpriority"], "o_custkey", "o_totalprice")
+    daily.write.parquet(path)
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    monthly = merged_states(spark.read.parquet(path), [month, "o_orderpriority"])
+    return estimates(monthly, ["month", "o_orderpriority"], [0.5, 0.9])
+
+
+@query("""SELECT strftime(o_orderdate, '%Y') AS year, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END) AS n_a,
+    count(DISTINCT CASE WHEN o_orderpriority = '5-LOW' THEN o_custkey END) AS n_b, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' AND EXISTS (SELECT 1 FROM orders y
+    WHERE y.o_custkey = x.o_custkey AND y.o_orderpriority = '5-LOW' AND strftime(y.o_orderdate, '%Y') = strftime(x.o_orderdate, '%Y')) THEN o_custkey END) AS n_both
+    FROM orders x GROUP BY 1""")
+def agg_sketch_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of urgent orders, of low ones and of both in a year, by Theta states: exact below 4,096 customers, near beyond."""
+    orders = read(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    monthly = sketch_states(orders, ["month", "o_orderpriority"], "o_custkey", "o_totalprice")
+    yearly = merged_states(monthly, [F.substring("month", 1, 4).alias("year"), "o_orderpriority"])
+    return overlap(yearly, ["year"], "o_orderpriority", "1-URGENT", "5-LOW")
+
+
+@query("""SELECT strftime(l_shipdate, '%Y') AS year, l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1, 2""")
+def agg_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct counts by month as bitmaps, merged by year."""
+    lineitem = read(spark, sf_dir, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    by, out = [F.substring("month", 1, 4).alias("year"), "l_returnflag"], None
+    for column, alias in (("l_partkey", "parts"), ("l_orderkey", "orders")):
+        yearly = merged_bitmaps(bitmaps(lineitem, ["month", "l_returnflag"], column), by)
+        counts = bitmap_counts(yearly, ["year", "l_returnflag"], alias)
+        out = counts if out is None else out.join(counts, ["year", "l_returnflag"])
+    return out
+
+
+@query("""WITH w AS (SELECT unnest(string_split(text, ' ')) AS word FROM documents)
+    SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1 HAVING count(*) >= 0.004 * (SELECT count(*) FROM w WHERE word <> '')""")
+def agg_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''")
+    return heavy_hitters(words, "word", 0.004)
+
+
+HASH_SQL = "((('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496.0)"
+
+
+@query(f"""SELECT o_orderkey, o_orderpriority, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {HASH_SQL.format(seed=7, key="o_orderkey")}, o_orderkey) AS r
+    FROM orders) WHERE r <= 40""")
+def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly 40 orders of each priority."""
+    return bottom_k(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"), ["o_orderpriority"], "o_orderkey", 40, seed=7)
+
+
+@query(f"""SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY -ln({HASH_SQL.format(seed=0, key="o_orderkey")}) / o_totalprice, o_orderkey) AS r
+    FROM orders WHERE o_totalprice > 0) WHERE r <= 40""")
+def sample_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 orders of each status, in proportion to their price."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return bottom_k(orders, ["o_orderstatus"], "o_orderkey", 40, weight="o_totalprice").drop("o_totalprice")
+
+
+FRAMES = {"current row": (1, 1), "group": (2, 1), "ties": (None, 0), "no others": (3, 0)}
+FRAME_SQL = " UNION ALL ".join(
+    f"""SELECT o_orderkey, '{exclude}' AS form, (sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER w)::DOUBLE AS total, count(o_totalprice) OVER w AS n FROM orders
+    WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN {"UNBOUNDED" if a is None else a} PRECEDING AND {b} FOLLOWING EXCLUDE {exclude})"""
+    for exclude, (a, b) in FRAMES.items()
+)
+
+
+@query(FRAME_SQL)
+def window_groups_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's frame of its customer's orders by priority, counted in groups of peers, in all four forms of EXCLUDE."""
+    orders, out = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", exact("o_totalprice").alias("price")), None
+    for exclude, (before, after) in FRAMES.items():
+        rows = groups_frame(orders, ["o_custkey"], ["o_orderpriority"], "price", before, after, exclude)
+        form = rows.select("o_orderkey", F.lit(exclude).alias("form"), F.col("price_sum").cast("double").alias("total"), F.col("price_count").alias("n"))
+        out = form if out is None else out.unionAll(form)
+    return out
