@@ -11,13 +11,6 @@ def exact(value: str | Column, scale: int = 2) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast(f"decimal(18,{scale})")
 
 
-def salted_sum(df: DataFrame, by: list[str], value: Column, alias: str, salts: int = 16) -> DataFrame:
-    """A sum in two steps, where one task should not merge a hot group's partial sums alone.  Nulls are not added; a group of nulls
-    alone has a null sum; null keys are a group; an empty table gives none."""
-    part = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))).groupBy(*by, "_salt").agg(F.sum(value).alias(alias))
-    return part.groupBy(*by).agg(F.sum(alias).alias(alias))
-
-
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
     """Counts by bins of the given width; nulls are a bin of their own, empty bins have no row."""
     return df.groupBy(F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
@@ -28,7 +21,7 @@ def exact_quantiles(df: DataFrame, by: str, value: str, quantiles: list[float],
 
     Approximate ones bracket each rank between two values.  Rows below a bracket are counted, combined before the
     shuffle; only those inside, some five in `accuracy` of a group, are put in order.  No task holds a group.
-    A group of nulls alone has no row, an empty table none.
+    A group of nulls alone has no row, an empty table none.  A bracket that misses its rank, beyond the sketch's bounds, is an error.
     """
     rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
     spans = [(q, max(0.0, q - 2.5 / accuracy), min(1.0, q + 2.5 / accuracy)) for q in quantiles]
@@ -49,4 +42,6 @@ def exact_quantiles(df: DataFrame, by: str, value: str, quantiles: list[float],
     ranked = ranked.withColumn("upto", upto).withColumns({"at": at, "first": F.col("upto") - F.col("times")})
     holds = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("upto")), F.col("v")))
     ends = ranked.groupBy(F.col("_by").alias(by), "q", "at").agg(holds(F.floor("at")).alias("a"), holds(F.ceil("at")).alias("b"))
-    return ends.select(by, "q", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
+    missed = F.raise_error(F.lit("a rank lies outside its bracket: raise accuracy")).cast("double")
+    return ends.select(by, "q", F.when(value.isNull(), missed).otherwise(value).alias("value"))

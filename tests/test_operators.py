@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from tessera.operators.aggregates import exact_quantiles, histogram, salted_sum
+from tessera.operators.aggregates import exact_quantiles, histogram
 from tessera.operators.joins import as_of_join, range_join, salted_join
+from tessera.operators.recursion import descend
 from tessera.operators.windows import gap_filled, latest, sessions, top_k
 from tessera.sources import files
 
@@ -13,6 +14,35 @@ def test_as_of_join_takes_the_latest_row_at_or_before(spark):
     assert got == {("a", 5): 40, ("a", 1): 10, ("b", 3): None, (None, 2): None}
 
 
+def test_as_of_join_of_nulls_names_and_slices(spark):
+    import random
+
+    r = random.Random(6)
+    pick = lambda *x: r.choice([None, *x])
+    a = [(pick("a", "b"), pick(*range(40)), r.randrange(5)) for _ in range(120)]
+    b = [(pick("a", "b", "c"), pick(*range(40)), pick(*range(9)), r.randrange(9)) for _ in range(60)]
+    left = spark.createDataFrame(a, "k string, t int, _side int")
+    right = spark.createDataFrame(b, "k string, t int, v int, _side int")
+
+    def wanted(k, t):
+        found = [(x[1], x[2] is not None, x[2] or 0, x[3]) for x in b if k is not None and x[0] == k and t is not None and x[1] is not None and x[1] <= t]
+        return (max(found)[2] if max(found)[1] else None, max(found)[3]) if found else (None, None)
+
+    expected = sorted(((k, t, s, *wanted(k, t)) for k, t, s in a), key=str)
+    for slices in (None, lambda t: F.floor(t / 7), lambda t: t):
+        got = as_of_join(left, right, "t", ["k"], ["v", "_side"], slices)
+        assert got.columns == ["k", "t", "_side", "v", "_side_right"] and sorted(map(tuple, got.collect()), key=str) == expected
+    assert as_of_join(left.limit(0), right, "t", ["k"], ["v"]).count() == 0
+    assert {x["v"] for x in as_of_join(left, right.limit(0), "t", ["k"], ["v"], lambda t: t).collect()} == {None}
+
+
+def test_range_join_leaves_nulls_and_empty_ranges(spark):
+    left = spark.createDataFrame([(1,), (None,), (5,)], "at long").withColumn("_bin", F.lit(0))
+    right = spark.createDataFrame([(0, 3), (3, 3), (6, 2), (None, 9), (4, None)], "b long, e long")
+    got = range_join(left, right, F.col("at"), F.col("b"), F.col("e"), 4)
+    assert [(r.at, r.b) for r in got.collect()] == [(1, 0)] and got.columns == ["at", "_bin", "b", "e"]
+
+
 def test_range_join_meets_every_pair_once(spark):
     left = spark.range(30).select(F.col("id").alias("at"))
     right = spark.createDataFrame([(0, 7), (5, 6), (6, 25), (9, 9)], "b long, e long")
@@ -21,10 +51,12 @@ def test_range_join_meets_every_pair_once(spark):
 
 
 def test_salted_join_equals_a_plain_one(spark):
-    left = spark.range(200).select((F.col("id") % 3).alias("k"), F.col("id").alias("x"))
-    right = spark.createDataFrame([(0, "p"), (1, "q"), (1, "r"), (5, "s")], "k long, y string")
+    left = spark.range(200).select(F.when(F.col("id") % 50 > 0, F.col("id") % 3).alias("k"), F.col("id").alias("x"), F.lit(1).alias("_salt"))
+    right = spark.createDataFrame([(0, "p"), (1, "q"), (1, "r"), (5, "s"), (None, "t")], "k long, y string")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        assert sorted(map(str, salted_join(left, right, ["k"], 4, how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+        for hot_rows in (0, 66, 1_000):
+            got = salted_join(left, right, ["k"], 4, how, hot_rows)
+            assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
 
 
 def test_windows(spark):
@@ -47,12 +79,11 @@ def test_exact_quantiles(spark):
     assert exact_quantiles(df.limit(0), "k", "x", [0.5]).count() == 0
 
 
-def test_sessions_histogram_and_salted_sum(spark):
+def test_sessions_and_histogram(spark):
     df = spark.createDataFrame([("a", 0), ("a", 5), ("a", 30), (None, 1), ("b", None)], "k string, m int").withColumn("t", F.timestamp_seconds(F.col("m") * 60))
     got = sorted((str(r.k), r.n_events, (r.ends - r.begins).seconds // 60) for r in sessions(df, "k", "t", "10 minutes").collect())
     assert got == [("None", 1, 10), ("a", 1, 10), ("a", 2, 15)]
     assert sorted(((r.bin is None, r.bin or 0), r.n) for r in histogram(df, "m", 10).collect()) == [((False, 0), 3), ((False, 3), 1), ((True, 0), 1)]
-    assert sorted((str(r.k), r.s) for r in salted_sum(df, ["k"], F.col("m"), "s").collect() if r.s is not None) == [("None", 1), ("a", 35)]
     assert sessions(df.limit(0), "k", "t", "1 minute").count() == histogram(df.limit(0), "m", 1).count() == 0
 
 
@@ -74,3 +105,43 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     spark.sql("DROP TABLE b_orders")
     spark.sql("DROP TABLE b_lineitem")
+
+
+def test_descent_passes_a_million_rows(spark, tmp_path):
+    keys = spark.range(1_500_000).select(F.col("id").alias("k"))
+    edges = keys.where("k >= 4").select("k", F.floor(F.col("k") / 4.0).alias("parent"))
+    got = descend(keys.where("k < 4"), edges, "k", "parent", f"{tmp_path}/tree")
+    assert sorted((r["depth"], r["n"]) for r in got.groupBy("depth").agg(F.count("*").alias("n")).collect())[:3] == [(0, 4), (1, 12), (2, 48)]
+    assert got.count() == got.select("k").distinct().count() == 1_500_000
+
+
+def test_descent_of_nulls_repeats_and_cycles(spark, tmp_path):
+    edges = spark.createDataFrame([(2, 1), (3, 1), (3, 2), (1, 3), (None, 1), (9, None), (7, 8)], "k long, parent long")
+    roots = spark.createDataFrame([(1,), (1,), (None,)], "k long")
+    got = descend(roots, edges, "k", "parent", f"{tmp_path}/a")
+    assert sorted((r["k"], r["depth"]) for r in got.collect()) == [(1, 0), (2, 1), (3, 1)]
+    assert descend(roots.limit(0), edges, "k", "parent", f"{tmp_path}/b").count() == 0
+
+
+def test_quantiles_outside_their_bracket_are_an_error(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a", float(i)) for i in range(20)], "k string, x double")
+    with pytest.raises(Exception, match="bracket"):
+        from tessera.operators import aggregates
+
+        wrong = aggregates.F.percentile_approx
+        try:
+            aggregates.F.percentile_approx = lambda c, q, n: F.array(F.lit(18.0), F.lit(19.0))
+            exact_quantiles(df, "k", "x", [0.5], 10).collect()
+        finally:
+            aggregates.F.percentile_approx = wrong
+
+
+def test_no_subquery_is_broadcast_whatever_its_size(spark):
+    from tessera.plans import analytics, registry
+
+    assert analytics.TREE
+
+    plan = registry.QUERIES["join_subqueries"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 1 and "isnull" not in plan.lower().split("leftanti")[1].split("\n")[0]
