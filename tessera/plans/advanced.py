@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import dates, tables
 from tessera.operators.aggregates import exact
 from tessera.operators.frames import groups_frame
 from tessera.operators.samples import bottom_k
@@ -105,3 +107,63 @@ def window_groups_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         form = rows.select("o_orderkey", F.lit(exclude).alias("form"), F.col("price_sum").cast("double").alias("total"), F.col("price_count").alias("n"))
         out = form if out is None else out.unionAll(form)
     return out
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM m)
+    SELECT user_id, event_type, min(ts) AS begins, max(ts) AS ends, count(*) AS n FROM r GROUP BY user_id, event_type, run""")
+def udtf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's runs of one event type, by a table function over the whole table."""
+    tables.register(spark)
+    events = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return spark.sql("SELECT * FROM runs(TABLE(SELECT * FROM {events}) PARTITION BY user_id ORDER BY (ts, event_id), 'user_id', 'event_type', 'ts')", events=events)
+
+
+ROOTS = """BEGIN
+    DECLARE v_round INT DEFAULT 0;
+    DECLARE v_moved BIGINT DEFAULT 1;
+    CREATE TABLE {labels} (k BIGINT, label BIGINT, round INT) USING parquet PARTITIONED BY (round);
+    INSERT INTO {labels} SELECT c_custkey, CASE WHEN c_custkey < 4 THEN c_custkey ELSE CAST(floor(c_custkey / 4.0) AS BIGINT) END, 0 FROM {customer};
+    WHILE v_moved > 0 DO
+        INSERT INTO {labels} SELECT a.k, b.label, v_round + 1 FROM {labels} a JOIN {labels} b ON a.label = b.k WHERE a.round = v_round AND b.round = v_round;
+        SET v_moved = (SELECT count(*) FROM {labels} a JOIN {labels} b ON a.k = b.k WHERE a.round = v_round AND b.round = v_round + 1 AND a.label <> b.label);
+        SET v_round = v_round + 1;
+    END WHILE;
+    SELECT label AS root, count(*) AS n, sum(k) AS keys FROM {labels} WHERE round = (SELECT max(round) FROM {labels}) GROUP BY label;
+END"""
+
+
+@query("""WITH RECURSIVE t(k, root) AS (SELECT c_custkey, c_custkey FROM customer WHERE c_custkey < 4
+    UNION ALL SELECT c_custkey, root FROM t JOIN customer ON CAST(floor(c_custkey / 4.0) AS BIGINT) = k WHERE c_custkey >= 4)
+    SELECT root, count(*) AS n, sum(k)::BIGINT AS keys FROM t GROUP BY root""")
+def script_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's root, by an SQL script: labels jump to their labels' labels, twice as far each round, until none moves.
+    Rounds are partitions of a table in the warehouse, whose lineage is files; the result reads the last one."""
+    name = uuid.uuid4().hex
+    read(spark, sf_dir, "customer").createOrReplaceTempView(f"customer_{name}")
+    return spark.sql(ROOTS.format(labels=f"labels_{name}", customer=f"customer_{name}"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, date_part('dow', l_shipdate)::BIGINT AS weekday, date_diff('month', o_orderdate, l_shipdate) AS months,
+    date_diff('quarter', o_orderdate, l_shipdate) AS quarters, date_diff('day', date_trunc('week', o_orderdate), date_trunc('week', l_shipdate)) // 7 AS weeks, date_diff('month', least(o_orderdate, l_shipdate), greatest(o_orderdate, l_shipdate)) - (day(greatest(o_orderdate, l_shipdate)) < day(least(o_orderdate, l_shipdate)))::BIGINT AS whole_months,
+    date_sub('year', TIMESTAMP '1970-02-28', o_orderdate) AS years FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def scalar_date_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences by boundaries crossed and by whole units, which engines count differently under one name."""
+    lineitem, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders").withColumn("day", F.lit("1970-02-28").cast("timestamp_ntz"))
+    span = {"earlier": F.least("o_orderdate", "l_shipdate"), "later": F.greatest("o_orderdate", "l_shipdate")}
+    return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumns(span).select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        dates.weekday("l_shipdate").alias("weekday"),
+        dates.months_crossed("o_orderdate", "l_shipdate").alias("months"),
+        dates.quarters_crossed("o_orderdate", "l_shipdate").alias("quarters"),
+        dates.weeks_crossed("o_orderdate", "l_shipdate").alias("weeks"),
+        dates.whole_months("earlier", "later").alias("whole_months"),
+        dates.whole_years("day", "o_orderdate").alias("years"),
+    )
+
+
+@query("""SELECT event_id, extract(microseconds FROM ts) / 1e6 AS second, date_part('dow', ts)::BIGINT AS weekday FROM events""")
+def scalar_fractional_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", dates.second_of("ts").alias("second"), dates.weekday("ts").alias("weekday"))
