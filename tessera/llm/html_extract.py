@@ -42,11 +42,15 @@ HINTS = set(
 # Words that such names are put together with.
 WITH = set("area bar block bottom box buttons container content form global group icons inner item items left line link links list main outer page panel posts right row section site stories text top wrap wrapper".split())
 
+# Words that name readers' comments, and those beside which they only tell of a page's state.
+COMMENT = set("comment comments commentlist commentform commenter commenters reply replies respond disqus discussion".split())
+STATE = set("open closed no has count counts enabled disabled on off allow allowed".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAME = re.compile(r"[a-z]+")
 
-FEATURES = ["side", "hint", "main", "beside", "header", "heading", "item", "words", "link_density", "words_before", "links_before", "words_after", "links_after"]
+FEATURES = ["side", "hint", "comment", "main", "beside", "header", "heading", "item", "words", "link_density", "words_before", "links_before", "words_after", "links_after"]
 
 
 @dataclass
@@ -55,6 +59,7 @@ class Block:
     links: int
     side: bool
     hint: bool
+    comment: bool
     main: bool
     header: bool
     heading: bool
@@ -62,9 +67,13 @@ class Block:
     keep: bool = False
 
 
+def parts_of(name: str) -> list[str]:
+    return NAME.findall(re.sub("([a-z])([A-Z])", r"\1 \2", name).lower())
+
+
 def named_aside(name: str) -> bool:
     """A whole name that is a hint, or hints put together with each other and with WITH."""
-    parts = NAME.findall(re.sub("([a-z])([A-Z])", r"\1 \2", name).lower())
+    parts = parts_of(name)
     return not HINTS.isdisjoint(parts) and all(x in HINTS or x in WITH for x in parts)
 
 
@@ -81,28 +90,43 @@ def hinted(attributes: str, element: str = "div") -> bool:
     return False
 
 
+def commented(attributes: str, element: str) -> bool:
+    """Does a part of a class or id name readers' comments?  What holds the whole page or an article is called so for its state."""
+    names = [value.strip("\"'") for name, value in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")]
+    parts = [set(parts_of(n)) for value in names for n in value.split()]
+    return element not in PLAIN and element != "article" and any(p & COMMENT and not p & STATE for p in parts)
+
+
 def blocks_of(html: str | None) -> list[Block]:
     """The text blocks of a page, in its order."""
     html = html or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
+    spans: list[list] = []  # open ones: is it set aside, where it begins in parts and linked, depth of the stack, inside a paragraph
     parts: list[str] = []
     linked: list[str] = []
-    link = heading = item = keep = False
+    link = heading = item = keep = paragraph = False
 
-    def close() -> None:
-        nonlocal heading, item
-        text = " ".join(unescape("".join(parts)).split())
+    def add(words: list[str], links: list[str], aside: bool) -> None:
+        text = " ".join(unescape("".join(words)).split())
         if text:
-            names = {n for n, _ in stack}
+            names = {n for n, *_ in stack}
             out.append(
                 Block(
-                    text, len(unescape(" ".join(linked)).split()), not SIDE.isdisjoint(names), any(h for _, h in stack), not MAIN.isdisjoint(names),
-                    "header" in names, heading, item, keep,
+                    text, len(unescape(" ".join(links)).split()), not SIDE.isdisjoint(names), aside or any(h for _, h, _ in stack), any(c for *_, c in stack),
+                    not MAIN.isdisjoint(names), "header" in names, heading, item, keep,
                 )
             )
+
+    def close() -> None:
+        """End a block.  What a span sets aside goes if it is a part of the block; if the span goes around it, that counts as a hint."""
+        at, link_at, inside = next(((s[1], s[2], s[4]) for s in spans if s[0]), (len(parts), len(linked), False))
+        around = at == 0 and not inside
+        add(parts if around else parts[:at], linked if around else linked[:link_at], around and any(s[0] for s in spans))
         parts.clear()
         linked.clear()
+        for s in spans:
+            s[1] = s[2] = 0
 
     at, n = 0, len(html)
     while at < n:
@@ -140,23 +164,34 @@ def blocks_of(html: str | None) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
+        if name == "span":
+            if not closing:
+                if not attributes.rstrip().endswith("/"):
+                    spans.append([bool(attributes) and (hinted(attributes) or commented(attributes, name)), len(parts), len(linked), len(stack), paragraph])
+            elif spans:
+                aside, p, q, *_ = spans.pop()
+                if aside:  # its own words alone go; the text goes on behind it
+                    del parts[p:], linked[q:]
+            continue
         if name in BLOCK or name in HOLDERS:
             close()
             link = False
+            paragraph = name == "p" and not closing
+            spans = [s for s in spans if not s[4]]  # they end with their paragraph
             if name in ("p", "li", "dt", "dd", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "div", "section", "article", "ul", "ol"):
                 heading = not closing and name[0] == "h" and name != "hr"
                 item = not closing and (name == "li" or item and name == "p")
-        if name in HOLDERS or (name == "p" or name == "span") and attributes and not closing and hinted(attributes):
+        if name in HOLDERS or name == "p" and attributes and not closing and (hinted(attributes) or commented(attributes, name)):
             if not closing:
                 if name not in VOID and not attributes.rstrip().endswith("/"):
-                    stack.append((name, hinted(attributes, name)))
+                    stack.append((name, hinted(attributes, name), commented(attributes, name)))
                     keep = keep or "data-keep" in attributes
-            elif any(x == name for x, _ in stack):
+            elif any(x == name for x, *_ in stack):
                 while stack.pop()[0] != name:
                     pass
+                spans = [s for s in spans if s[3] <= len(stack)]
                 keep = keep and name != "section"
-        elif closing and name in ("p", "span") and stack and stack[-1][0] == name:
-            close()
+        elif closing and name == "p" and stack and stack[-1][0] == name:
             stack.pop()
         elif name == "p" and not closing and stack and stack[-1][0] == "p":
             stack.pop()
@@ -169,7 +204,7 @@ def features_of(blocks: list[Block]) -> np.ndarray:
     density = np.array([b.links for b in blocks], float) / np.maximum(words, 1)
     before, after = lambda x: np.concatenate(([0.0], x[:-1])), lambda x: np.concatenate((x[1:], [0.0]))
     has_main = any(b.main for b in blocks)
-    flags = np.array([[b.side, b.hint, b.main, has_main and not b.main, b.header, b.heading, b.item] for b in blocks], float).reshape(-1, 7)
+    flags = np.array([[b.side, b.hint, b.comment, b.main, has_main and not b.main, b.header, b.heading, b.item] for b in blocks], float).reshape(-1, 8)
     return np.column_stack([flags, words, density, before(words), before(density), after(words), after(density)]) if blocks else np.zeros((0, len(FEATURES)))
 
 
@@ -194,6 +229,7 @@ ARTICLE = [
     f"<main><section data-keep><h2>{_S}</h2><p>{_L}</p><ul><li>{_S}</li><li><a href=/x>{_W}</a></li></ul><blockquote>{_S}</blockquote><table><tr><td>{_W}</td><td>{_L}</td></tr></table></section><aside><p>{_L}</p></aside></main>",
     f"<article><header><section data-keep><h1>{_W}</h1></section><p>By A. Writer, our reporter</p></header><section data-keep><p>{_L}</p><h2>{_S}</h2><p>{_S}</p></section><footer><p>{_L}</p></footer></article>",
     f"<main><nav><a href=/x>{_S}</a></nav><section data-keep><p>{_S}</p></section><form><p>{_S}</p></form></main>",
+    f"<article><section data-keep><h1>{_S}</h1><p>{_L}</p><p>{_S}</p><p>{_L}</p></section><ol class=commentlist><li>{_L}</li><li><p>{_S}</p></li></ol></article>",
 ]
 END = [
     "",
@@ -201,6 +237,7 @@ END = [
     f"<footer>{_L} <a href=/c>us</a></footer>",
     f"<div><a href=/d>Next page</a></div><div>{_W} <a href=/e>all rights</a></div><p>{_L}</p>",
     f"<div class=share><a href=/s>Share</a></div><div class=related><p>{_L}</p><p>{_S}</p></div>",
+    f"<div class=comment-thread><div class=comment-body><p>{_L}</p><p>{_L}</p></div></div>",
     f"<section class=newsletter><p>{_L} {_L}</p><p>{_S}</p></section><p><a href=/c>{_L}</a></p><div>{_W}</div>",
 ]
 # Pages that have none, or none around the article.
@@ -227,6 +264,7 @@ OPEN_END = [
     f"<div><a href=/d>Next page</a></div><div>{_W} <a href=/e>all rights</a></div>",
     f"<ul><li><a href=/c>{_S}</a></li><li><a href=/d>{_L}</a></li></ul><div>{_S}</div>",
     f"<div class=comments><p>{_L}</p><p>{_S}</p></div><div><a href=/d>{_W}</a></div>",
+    f"<div id=post-comments><p>{_L}</p><p>{_L} {_L}</p><p>{_S}</p></div>",
     f"<p><a href=/d>{_S}</a></p><p>{_S}</p><p>{_W}</p><div>{_S} <a href=/d>{_W}</a></div>",
     f"<div>{_S}</div><div>{_W}</div><div><a href=/d>{_L}</a></div><div>{_S}</div>",
 ]
@@ -295,7 +333,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of pages: page_id, url, text, n_chars.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a line
-    feed.  Null and empty pages, and pages without an article, have an empty text.  Repeated rows and null ids or
+    feed.  Of a paragraph that holds an advert or a notice as a span, the span's words alone go.  Blocks with the same features are alike
+    for the tree, so ties among them fall one way.  Null and empty pages, and pages without an article, have an empty text.  Repeated rows and null ids or
     urls are kept.  Empty tables give empty results.  Other columns are not read.
     """
     tree = trained()

@@ -60,6 +60,49 @@ def test_pages_without_landmarks_are_told_by_text():
     assert text(page) == f"Goats at sea\n{LONG} {LONG}\nNot all of them swim.\n{LONG} More.\n{LONG}"
 
 
+def test_spans_set_aside_take_their_own_words_alone():
+    for span in ("<span class='ad'>Buy</span>", "<span class=notice>note 3</span>", "<span hidden>x</span>", "<span class='related'>see <a href=/x>this</a> <span>too</span></span>"):
+        assert text(f"<article><p>{LONG} {span} After text.</p><p>{LONG}</p></article>") == f"{LONG} After text.\n{LONG}", span
+    assert text(f"<article><p>{LONG} <span>plain</span> <span class=big>words</span>.</p></article>") == f"{LONG} plain words."
+    assert text(f"<article><p>{LONG} <span class=ad>never closed</p><p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+    assert text(f"<article><div>{LONG} <span class=ad>never closed</div><p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+    assert text(f"<article><p>{LONG}</p><span class=advert><div>{LONG}</div><p>{LONG}</p></span><p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+
+
+def test_reader_comments_go_whatever_their_names_are_put_together_with():
+    article = f"<h1>Sea</h1><p>{LONG} {LONG}</p><p>{LONG}</p>"
+    for name in ("comment-body", "commentlist", "post-comments", "user-comments", "comment-thread", "CommentBox", "replies-area", "respond"):
+        for attribute in ("class", "id"):
+            comments = f"<div {attribute}='{name}'><h3>Three readers</h3><p>{LONG}</p><div><p>{LONG} {LONG}</p></div></div>"
+            assert text(f"<article>{article}{comments}</article>") == f"Sea\n{LONG} {LONG}\n{LONG}", name
+            assert text(f"<div>{article}</div>{comments}") == f"Sea\n{LONG} {LONG}\n{LONG}", name
+    for name in ("comments-open", "has-comments", "commentary"):
+        assert text(f"<article><div class='{name}'>{article}</div></article>") == f"Sea\n{LONG} {LONG}\n{LONG}", name
+
+
+def test_the_tree_splits_as_an_exhaustive_search_does():
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        x, y = r.integers(0, 4, (r.integers(4, 25), 3)).astype(float), None
+        y = (r.random(len(x)) < 0.5).astype(float)
+
+        def impurity(part):
+            return len(part) * part.mean() * (1 - part.mean()) if len(part) else 0.0
+
+        gains = [(impurity(y) - impurity(y[x[:, f] <= t]) - impurity(y[x[:, f] > t]), f, t) for f, t in itertools.product(range(3), (0.5, 1.0, 1.5, 2.0, 2.5))]
+        tree, most = H.grown(x, y, depth=1), max(g for g, *_ in gains)
+        if len(tree) == 1:
+            assert most <= 0.5 + 1e-9
+        else:
+            f, t = tree[:2]
+            assert abs(impurity(y) - impurity(y[x[:, f] <= t]) - impurity(y[x[:, f] > t]) - most) < 1e-9
+            assert tree[2] == (y[x[:, f] <= t].mean(),) and tree[3] == (y[x[:, f] > t].mean(),)
+
+
 def test_given_pages_without_the_names(spark):
     tree = H.trained(without=("hint",))
     for r in spark.read.parquet(f"{MID}/pages.parquet").collect():
