@@ -167,3 +167,56 @@ def scalar_date_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, extract(microseconds FROM ts) / 1e6 AS second, date_part('dow', ts)::BIGINT AS weekday FROM events""")
 def scalar_fractional_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", dates.second_of("ts").alias("second"), dates.weekday("ts").alias("weekday"))
+
+
+@query("""SELECT lang, sum(len(string_split(coalesce(text, ''), chr(10))))::BIGINT AS n_lines, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS n_bytes FROM documents GROUP BY 1""")
+def source_text_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as lines, a folder for each language, read back as lines and as whole binary files."""
+    path = shared_folder(spark, "texts")
+    texts = read(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("value"))
+    texts.write.partitionBy("lang").option("lineSep", "\n").text(path)
+    lines = spark.read.option("lineSep", "\n").text(path).groupBy("lang").agg(F.count("*").alias("n_lines"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return lines.join(files.groupBy("lang").agg(F.sum("length").alias("n_bytes")), "lang")
+
+
+@query("""SELECT l_suppkey, mode(l_linenumber ORDER BY l_linenumber) AS commonest, bool_and(l_quantity > 0) AS all_sold, bool_and(l_discount < 0.09) AS no_bargain, any_value(s_nationkey) AS nation,
+    round(regr_intercept(l_quantity, l_linenumber), 6) AS intercept, regr_count(l_quantity, l_linenumber)::BIGINT AS pairs, bit_xor(l_orderkey) AS bits FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")
+def agg_mode_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lineitem, supplier = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "supplier")
+    return lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_suppkey").agg(
+        F.mode("l_linenumber", deterministic=True).alias("commonest"),
+        F.bool_and(F.col("l_quantity") > 0).alias("all_sold"),
+        F.bool_and(F.col("l_discount") < 0.09).alias("no_bargain"),
+        F.any_value("s_nationkey").alias("nation"),
+        F.round(F.regr_intercept("l_quantity", "l_linenumber"), 6).alias("intercept"),
+        F.regr_count("l_quantity", "l_linenumber").alias("pairs"),
+        F.bit_xor("l_orderkey").alias("bits"),
+    )
+
+
+@query("""WITH a AS (SELECT nullif(o_orderstatus, 'P') AS status, o_custkey % 7 AS k, count(*) AS n FROM orders GROUP BY 1, 2),
+    b AS (SELECT nullif(o_orderstatus, 'P') AS status, o_custkey % 7 AS k, max(o_orderkey) AS latest FROM orders GROUP BY 1, 2)
+    SELECT coalesce(a.status, 'none') AS status, a.k, n, latest FROM a JOIN b ON a.status IS NOT DISTINCT FROM b.status AND a.k = b.k""")
+def join_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An equi-join that lets nulls meet: no rows are lost, and Spark still joins by hash or by order."""
+    orders = read(spark, sf_dir, "orders").select(F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"), (F.col("o_custkey") % 7).alias("k"), "o_orderkey")
+    a = orders.groupBy("status", "k").agg(F.count("*").alias("n")).alias("a")
+    b = orders.groupBy("status", "k").agg(F.max("o_orderkey").alias("latest")).alias("b")
+    met = a.join(b, F.col("a.status").eqNullSafe(F.col("b.status")) & (F.col("a.k") == F.col("b.k")))
+    return met.select(F.coalesce("a.status", F.lit("none")).alias("status"), "a.k", "n", "latest")
+
+
+@query("""SELECT n_name AS nation, c_mktsegment AS segment, count(*) AS n, sum(CAST(c_acctbal AS DECIMAL(18, 2)))::DOUBLE AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey
+    WHERE c_acctbal > 0 GROUP BY ALL HAVING count(*) >= 5""")
+def sql_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query in pipe syntax, a step a line."""
+    return spark.sql(
+        """FROM {customer}
+        |> WHERE c_acctbal > 0
+        |> JOIN {nation} ON c_nationkey = n_nationkey
+        |> AGGREGATE count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS balance GROUP BY n_name AS nation, c_mktsegment AS segment
+        |> WHERE n >= 5""",
+        customer=read(spark, sf_dir, "customer"),
+        nation=read(spark, sf_dir, "nation"),
+    )
