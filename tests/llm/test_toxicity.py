@@ -27,9 +27,9 @@ def corpus(spark, n=300):
 def test_channel_restores_words(spark):
     docs = spark.createDataFrame([(i, "stupid idiot worthless trash loser pathetic the and of moron scum") for i in range(20)], "doc_id long, text string")
     model = X.char_model(X.word_counts(docs))
-    for noisy, word in [("1d10t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("stuuupid", "stupid"), ("w0rthle$$", "worthless"), ("tr@sh", "trash"), ("m00ron", "mooron")]:
+    for noisy, word in [("1d10t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("stuuupid", "stupid"), ("w0rthle$$", "worthless"), ("tr@sh", "trash"), ("m00ron", "moron")]:
         assert X.NOISY.search(X.core(noisy))
-        assert X.restore(X.core(noisy), model) == word or noisy == "m00ron"
+        assert X.restore(X.core(noisy), model) == word
     assert "stupid" in X.tokens("so s t u p i d it is")
     assert X.core("fine!!!") == "fine" and X.core("'quoted,'") == "quoted"
 
