@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -74,16 +75,47 @@ def nth_of_user(events: DataFrame) -> DataFrame:
     )
 
 
-def keep_latest(events: DataFrame, path: str, checkpoint: str, by: str = "user_id") -> StreamingQuery:
-    """A sink of whole tables: after each batch a new folder under path, named by the batch, holds the latest event of each key.
+def keep_latest(events: DataFrame, path: str, checkpoint: str, by: str = "user_id", buckets: int = 64) -> StreamingQuery:
+    """A sink of the latest event of each key, read back by latest_kept().
 
-    A batch that is run again after a failure writes its own folder anew, so every batch counts once."""
+    Keys are dealt to buckets by hash.  A batch reads and writes anew the buckets that it touches, in a folder of its own, and then a
+    small file that says in which batch each bucket was written last; before that file is there, nothing of the batch is seen.  A batch that is run
+    again after a failure writes the same folder and file anew, so every batch counts once.  Buckets that neither this batch's
+    file nor the one before names are deleted.  Null keys are a key; rows without a time lose against any other.
+    """
     row = [c for c in events.columns if c != by]
+    bucket = F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int").alias("_bucket")
 
     def merge(batch: DataFrame, number: int) -> None:
-        if number:
-            batch = batch.unionByName(batch.sparkSession.read.schema(events.schema).parquet(f"{path}/{number - 1}"))
+        spark = batch.sparkSession
+        before, older = kept_in(spark, path, number - 1), kept_in(spark, path, number - 2)
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most the number of buckets
+        if parts := [f"{path}/{before[b]}/_bucket={b}" for b in touched if b in before]:
+            batch = batch.unionByName(spark.read.schema(events.schema).parquet(*parts))
         latest = batch.groupBy(by).agg(F.max_by(F.struct(*row), F.struct("ts", "event_id")).alias("r")).select(by, "r.*")
-        latest.select(*events.columns).write.mode("overwrite").parquet(f"{path}/{number}")
+        latest.select(*events.columns, bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/{number}")
+        after = {**before, **dict.fromkeys(touched, number)}
+        rows = spark.createDataFrame(list(after.items()), "bucket int, batch long")
+        rows.coalesce(1).write.mode("overwrite").json(f"{path}/current/{number}")
+        for b, version in older.items():
+            if version not in (before.get(b), after.get(b)):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/_bucket={b}")
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_in(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """In which batch each bucket was written last, as of a batch."""
+    if number < 0:
+        return {}
+    return {r["bucket"]: r["batch"] for r in spark.read.schema("bucket int, batch long").json(f"{path}/current/{number}").collect()}
+
+
+def latest_kept(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that keep_latest() has written last, as a whole."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    found = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getParent().getName()) for f in found.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current/*/_SUCCESS"))]
+    parts = [f"{path}/{version}/_bucket={b}" for b, version in kept_in(spark, path, max(done, default=-1)).items()]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)

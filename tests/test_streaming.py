@@ -59,9 +59,14 @@ def test_custom_state_numbers_events(spark, tmp_path):
 
 def test_sink_keeps_the_latest_of_each_key(spark, tmp_path):
     path, batch = in_order(spark, tmp_path)
-    q = S.keep_latest(S.event_stream(spark, path).where("user_id >= 0"), f"{tmp_path}/out", f"{tmp_path}/check")
-    q.awaitTermination()
-    last = max(int(p.name) for p in (tmp_path / "out").iterdir())
-    got = spark.read.parquet(f"{tmp_path}/out/{last}")
-    want = batch.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-    assert last >= 3 and same(got.select("user_id", "event_id"), want)
+    stream = S.event_stream(spark, path).where("user_id >= 0 AND (user_id < 3 OR event_id < 600)")  # some keys rest later
+    S.keep_latest(stream, f"{tmp_path}/out", f"{tmp_path}/check", buckets=8).awaitTermination()
+    got = S.latest_kept(spark, f"{tmp_path}/out", stream.schema)
+    kept = batch.where("user_id < 3 OR event_id < 600")
+    want = kept.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    assert same(got.select("user_id", "event_id"), want) and got.columns == stream.columns
+    last = max(int(p.name) for p in (tmp_path / "out" / "current").iterdir())
+    folders = [p for p in (tmp_path / "out").glob("*/_bucket=*")]
+    live = {(str(v), f"_bucket={b}") for n in (last, last - 1) for b, v in S.kept_in(spark, f"{tmp_path}/out", n).items()}
+    assert len({n for n, _ in live}) > 1 and live <= {(p.parent.name, p.name) for p in folders} and len(folders) < 4 * 8
+    assert S.latest_kept(spark, f"{tmp_path}/nothing", stream.schema).count() == 0
