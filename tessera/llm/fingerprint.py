@@ -26,13 +26,25 @@ from .common import shuffle_width
 HEAD, PIECE = 32, 1024
 TABLES = 4
 LOAD = 10
-CELLS = (6, 12, 15)  # cells of a table: of the first try, the second, and all others; a block has 64 at most
+CELLS = (6, 12, 15)  # cells of a table: of the first try, the second, and all others; from the fourth on a block is split, each time into twice as many
 RETRIES, ROUNDS = 9, 12
-STUCK = "a block does not peel at any size"  # no set of digests that a hash could deal here gets stuck ten times
+STUCK = "a block does not peel at any size"  # the last is 128 parts of 60 cells, for some 20 digests on average
 ONE = 1 << 40  # more than the checks of a cell can sum up to
 BUCKETS_PER_PARTITION = 4
 
 
+def parts_of(size: Column) -> Column:
+    """Into how many parts a block is split: one for the first three sizes, then twice as many each time."""
+    return F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), size - 2))
+
+
+def each_part(size: Column, body) -> Column:
+    """body(i, digests -> those of part i) of each part."""
+    n = parts_of(size)
+    own = lambda i: lambda found: F.filter(found, lambda d: F.pmod(F.xxhash64(d, F.lit("part")), n) == i)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: body(i, own(i)))
+
+
 def bound(value: Column, body) -> Column:
     """body(value), with the value worked out once however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -131,12 +143,12 @@ def peels(codes: Column) -> Column:
 
 
 def published(cells: Column, found: Column) -> Column:
-    """A block's cells as text, of every size up to the first with which they peel."""
+    """A block's cells as text, of every size up to the first with which they peel; a block that is split, part after part."""
 
     def step(acc: Column, size: Column) -> Column:
-        codes = F.transform(found, lambda d: places(d, size))
-        text = as_string(F.when(size == 0, cells).otherwise(sketch(found, size)))
-        return F.when(acc["done"], acc).otherwise(F.struct(F.concat(acc["text"], F.array(text)).alias("text"), bound(codes, peels).alias("done")))
+        text = each_part(size, lambda _, own: as_string(F.when(size == 0, cells).otherwise(bound(own(found), lambda d: sketch(d, size)))))
+        done = F.forall(each_part(size, lambda _, own: F.transform(own(found), lambda d: places(d, size))), peels)
+        return F.when(acc["done"], acc).otherwise(F.struct(F.concat(acc["text"], F.array(F.array_join(text, ","))).alias("text"), done.alias("done")))
 
     start = F.struct(F.array().cast("array<string>").alias("text"), F.lit(False).alias("done"))
     text = lambda acc: F.when(acc["done"], F.array_join(acc["text"], ":")).otherwise(F.raise_error(F.lit(STUCK)))
@@ -148,9 +160,12 @@ def difference(cells: Column, a: Column, b: Column) -> Column:
     of the one less those of the other."""
 
     def step(acc: Column, size: Column) -> Column:
-        larger = bound(F.struct(sketch(a, size).alias("a"), sketch(b, size).alias("b")), lambda x: F.struct(F.zip_with(x["a"]["k"], x["b"]["k"], XOR).alias("k"), F.zip_with(x["a"]["m"], x["b"]["m"], TAKE).alias("m")))
-        got = lambda x: F.struct(size.alias("size"), x["done"].alias("done"), x["a"].alias("a"), x["b"].alias("b"))
-        return F.when(acc["done"], acc).otherwise(bound(peeled(F.when(size == 0, cells).otherwise(larger), size), got))
+        less = lambda x: F.struct(F.zip_with(x["a"]["k"], x["b"]["k"], XOR).alias("k"), F.zip_with(x["a"]["m"], x["b"]["m"], TAKE).alias("m"))
+        larger = lambda own: bound(F.struct(bound(own(a), lambda d: sketch(d, size)).alias("a"), bound(own(b), lambda d: sketch(d, size)).alias("b")), less)
+        split = each_part(size, lambda _, own: peeled(F.when(size == 0, cells).otherwise(larger(own)), size))
+        all_of = lambda x, side: F.flatten(F.transform(x, lambda p: p[side]))
+        got = lambda x: F.struct(size.alias("size"), F.forall(x, lambda p: p["done"]).alias("done"), all_of(x, "a").alias("a"), all_of(x, "b").alias("b"))
+        return F.when(acc["done"], acc).otherwise(bound(split, got))
 
     none = F.array().cast("array<bigint>")
     start = F.struct(F.lit(0).alias("size"), F.lit(False).alias("done"), none.alias("a"), none.alias("b"))

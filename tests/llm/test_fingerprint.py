@@ -23,8 +23,8 @@ def likeness(a, b):
 def told(fingerprint):
     """The digests that a fingerprint tells: how often each block's last cells hold one alone, peeled in plain Python."""
     found = []
-    for block in fingerprint.split("."):
-        raw = base64.b64decode(block.split(":")[-1])
+    for block, part in ((block, part) for block in fingerprint.split(".") for part in block.split(":")[-1].split(",")):
+        raw = base64.b64decode(part)
         cells = [list(struct.unpack(">qq", raw[i : i + 16])) for i in range(0, len(raw), 16)]
         size = len(cells) // P.TABLES
         salt = block.count(":")
@@ -79,6 +79,18 @@ def test_long_texts_need_retries_and_stay_exact(spark):
     assert all(len(r["fingerprint"].split(".")) == 128 for i, r in by.items() if i in (1, 4))
 
 
+def test_an_overfull_block_is_split_until_it_peels(spark):
+    from pyspark.sql import functions as F
+
+    for a, b in ((60, 0), (100, 150), (900, 40)):
+        sides = [(i * 7919 + 2, 0) for i in range(a)] + [(i * 104729 + 1, 1) for i in range(b)]
+        rows = spark.createDataFrame([(0, d, s, None) for d, s in sides], "block int, digest long, side int, info string")
+        got = P.cells_of(rows, "block").select(P.difference(F.col("cells"), F.col("a"), F.col("b")).alias("d")).first()["d"]
+        assert got["size"] >= 3 and sorted(got["a"]) == sorted(d for d, s in sides if not s) and sorted(got["b"]) == sorted(d for d, s in sides if s)
+        own = P.cells_of(rows.where("side = 0"), "block").select(P.published(F.col("cells"), F.col("a")).alias("text")).first()["text"]
+        assert told(own) == {d & (2**64 - 1) for d, s in sides if not s} and ("," in own) == (own.count(":") >= 3)
+
+
 def test_likeness_is_of_the_fingerprints_alone(spark):
     rows = [(1, "\n".join(f"paragraph {i}" for i in range(300))), (2, "\n".join(f"paragraph {i}" for i in range(40, 90))), (3, ""), (4, "one"), (5, "some words\nmore words")]
     by = check(spark, rows)
