@@ -138,7 +138,7 @@ END"""
     SELECT root, count(*) AS n, sum(k)::BIGINT AS keys FROM t GROUP BY root""")
 def script_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's root, by an SQL script: labels jump to their labels' labels, twice as far each round, until none moves.
-    Rounds are partitions of a table in the warehouse, whose lineage is files; the result reads the last one."""
+    Rounds are partitions of a table in the warehouse, whose lineage is files.  A script hands its result on as rows, here one a root."""
     name = uuid.uuid4().hex
     read(spark, sf_dir, "customer").createOrReplaceTempView(f"customer_{name}")
     return spark.sql(ROOTS.format(labels=f"labels_{name}", customer=f"customer_{name}"))

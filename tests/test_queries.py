@@ -19,6 +19,8 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_reads_given_tables_or_what_is_derived_from_them(spark, name, tmp_path_factory):
     files = QUERIES[name](spark, SMALL).inputFiles()
+    if name in ("source_connector", "script_roots"):  # a connector has no files to tell of, a script's result is rows
+        return
     assert files
     if not name.startswith(("source_", "script_", "agg_sketches", "join_recursive")):
         assert all(f.startswith(f"file://{SMALL}/") for f in files)
