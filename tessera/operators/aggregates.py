@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,20 @@ def exact(value: str | Column, scale: int = 2) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast(f"decimal(18,{scale})")
 
 
+def hundredths(value: str | Column) -> Column:
+    """A double of two decimals in whole hundredths."""
+    return F.floor((F.col(value) if isinstance(value, str) else value) * 100 + 0.5)
+
+
+def exact_sum(units: Column, scale: int = 2) -> Column:
+    """The sum of whole units of 10 ** -scale as a double, in any order of rows the same.
+
+    High and low bits are summed as longs, which compiled code adds at once where decimals are objects; only a group's two sums
+    become decimals.  Units up to 2 ** 40 overflow after 2 ** 43 rows of a group.  Nulls don't count; a group of nulls alone has null."""
+    high, low = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)"), F.sum(units.bitwiseAND(F.lit((1 << 20) - 1))).cast("decimal(20,0)")
+    return ((high * (1 << 20) + low) * F.lit(Decimal(10) ** -scale)).cast("double")
+
+
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
     """Counts by bins of the given width; nulls are a bin of their own, empty bins have no row."""
     return df.groupBy(F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))

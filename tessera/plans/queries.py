@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine
-from tessera.operators.aggregates import exact, exact_quantiles, histogram
+from tessera.operators.aggregates import exact, exact_quantiles, exact_sum, histogram, hundredths
 from tessera.operators.joins import as_of_join, range_join, salted_join
 from tessera.operators.windows import gap_filled, latest, sessions, top_k
 
@@ -16,7 +16,7 @@ REVENUE_SQL = "CAST(l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l_discount AS
 
 
 def revenue() -> Column:
-    return exact("l_extendedprice") * (1 - exact("l_discount"))
+    return exact_sum(hundredths("l_extendedprice") * (100 - hundredths("l_discount")), 4)
 
 
 @query(f"""SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS DECIMAL(18, 2)))::DOUBLE AS sum_qty, sum({REVENUE_SQL})::DOUBLE AS revenue,
@@ -24,7 +24,7 @@ def revenue() -> Column:
 def agg_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = read(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz '2000-09-02'")
     return lineitem.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum(exact("l_quantity")).cast("double").alias("sum_qty"), F.sum(revenue()).cast("double").alias("revenue"), F.count("*").alias("n")
+        exact_sum(hundredths("l_quantity")).alias("sum_qty"), revenue().alias("revenue"), F.count("*").alias("n")
     )
 
 
@@ -34,7 +34,7 @@ def filter_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read(spark, sf_dir, "lineitem")
         .where("l_shipdate >= timestamp_ntz '1996-01-01' AND l_shipdate < timestamp_ntz '1997-01-01' AND l_discount BETWEEN 0.045D AND 0.075D AND l_quantity < 24")
-        .agg(F.sum(revenue()).cast("double").alias("revenue"))
+        .agg(revenue().alias("revenue"))
     )
 
 
@@ -48,7 +48,7 @@ def join_local_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(supplier, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .groupBy(F.col("n_name").alias("nation")).agg(F.sum(revenue()).cast("double").alias("revenue"))
+        .groupBy(F.col("n_name").alias("nation")).agg(revenue().alias("revenue"))
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.aggregates import exact_sum, hundredths
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -38,5 +40,5 @@ def flagship_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.join(customer, orders.o_custkey == customer.c_custkey)
         .join(nation, customer.c_nationkey == nation.n_nationkey)
         .groupBy(F.col("n_name").alias("nation"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-        .agg(F.count("*").alias("n_orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("revenue"))
+        .agg(F.count("*").alias("n_orders"), exact_sum(hundredths("o_totalprice")).alias("revenue"))
     )

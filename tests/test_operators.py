@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessera.operators.aggregates import exact_quantiles, histogram
+from tessera.operators.aggregates import exact_quantiles, exact_sum, histogram, hundredths
 from tessera.operators.joins import as_of_join, range_join, salted_join
 from tessera.operators.recursion import descend
 from tessera.operators.windows import gap_filled, latest, sessions, top_k
@@ -145,3 +145,11 @@ def test_no_subquery_is_broadcast_whatever_its_size(spark):
 
     plan = registry.QUERIES["join_subqueries"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftAnti") == 1 and "isnull" not in plan.lower().split("leftanti")[1].split("\n")[0]
+
+
+def test_exact_sums_do_not_depend_on_order_or_size(spark):
+    rows = [("a", 0.1), ("a", 0.2), ("a", -0.35), ("a", None), ("b", None), (None, 90071992547.41), (None, 0.03), (None, -12345678901.99)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    assert {r.k: r.s for r in df.groupBy("k").agg(exact_sum(hundredths("x")).alias("s")).collect()} == {"a": -0.05, "b": None, None: 77726313645.45}
+    many = spark.range(1_000_000).select(F.lit(92233720368547.0).alias("x"))  # more than a long of hundredths holds
+    assert many.agg(exact_sum(hundredths("x")).alias("s")).first().s == 92233720368547.0 * 1_000_000
