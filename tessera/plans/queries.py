@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import ascii_lower
 from tessera.functions.vectors import cosine
 from tessera.operators.aggregates import exact, exact_quantiles, exact_sum, histogram, hundredths
 from tessera.operators.joins import as_of_join, range_join, salted_join
@@ -278,9 +279,8 @@ def scalar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents) GROUP BY 1""")
 def text_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole words, A-Z lower-cased: digits, letters and whatever lies outside ASCII."""
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.explode(F.array_remove(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")).alias("word")
-    return read(spark, sf_dir, "documents").select(words).groupBy("word").agg(F.count("*").alias("n"))
+    words = F.explode(F.split(ascii_lower(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")).alias("word")
+    return read(spark, sf_dir, "documents").select(words).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY 1""")

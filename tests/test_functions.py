@@ -2,7 +2,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.functions import dates, tables
+from tessera.functions.text import ascii_lower
 
 
 def test_dates_by_boundary_and_by_whole_units(spark):
@@ -40,3 +43,9 @@ def test_runs_of_a_table_function(spark):
     for call in ("'k', 'nothing', 'at'", "'k', 'k', 'at'"):
         with pytest.raises(Exception, match="no column nothing|two columns"):
             spark.sql(f"SELECT * FROM runs(TABLE(run_rows) PARTITION BY k ORDER BY (at), {call})")
+
+
+def test_ascii_lower_leaves_other_letters(spark):
+    rows = [("ABC xyz-Z[`{@",), ("ÀÉ A Z İ ẞ Σ",), ("",), (None,), ("\x00K\x7f",), ("😀Q",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(ascii_lower(F.col("t"))).collect()]
+    assert got == [t and "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for (t,) in rows]
