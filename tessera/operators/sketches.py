@@ -26,7 +26,7 @@ def sketch_states(df: DataFrame, by: list[str], key: str, value: str) -> DataFra
 def merged_states(states: DataFrame, by: list[str | Column]) -> DataFrame:
     """The states of coarser groups, combined in each task before the shuffle."""
     return states.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.hll_union_agg("hll").alias("hll"), F.theta_union_agg("theta").alias("theta"), F.kll_merge_agg_double("kll", KLL_K).alias("kll")
+        F.sum("n").alias("n"), F.hll_union_agg("hll").alias("hll"), F.theta_union_agg("theta", LG_THETA).alias("theta"), F.kll_merge_agg_double("kll", KLL_K).alias("kll")
     )
 
 
@@ -50,6 +50,19 @@ def overlap(states: DataFrame, by: list[str], kind: str, a: str, b: str) -> Data
     return pairs.select(*by, count("a").alias("n_a"), count("b").alias("n_b"), count(F.theta_intersection("a", "b")).alias("n_both"))
 
 
+def key_run(key: str) -> Column:
+    """The run of 2 ** (LG_THETA - 1) whole numbers that a key lies in; null for null.  A state of one run's keys is half full at most,
+    so its Theta never samples, whatever the number of rows and keys."""
+    return F.shiftright(key, LG_THETA - 1)
+
+
+def exact_overlap(states: DataFrame, by: list[str], run: str, kind: str, a: str, b: str) -> DataFrame:
+    """As `overlap`, exact at any size: from states by `run` as well (a `key_run`), as sums over runs, which share no key.
+    Two keys of a run would have to share a hash of 63 bits to count as one."""
+    runs = overlap(states, [*by, run], kind, a, b)
+    return runs.groupBy(*by).agg(*(F.sum(n).alias(n) for n in ("n_a", "n_b", "n_both")))
+
+
 def bitmaps(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, bucket, bits: exact sets of whole numbers, a bitmap of 4 KB for each group and run of 32,768 numbers that holds any.
     Nulls are in no set, so a group of nulls alone has no row."""

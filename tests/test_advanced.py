@@ -1,6 +1,8 @@
+import os
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,10 @@ from tessera.operators.frames import groups_frame
 from tessera.operators.samples import bottom_k, uniform
 from tessera.operators.sketches import BOUNDS, bitmap_counts, bitmaps, estimates, heavy_hitters, merged_bitmaps, merged_states, overlap, sketch_states
 
-from .conftest import MID
+from tessera.plans import advanced  # noqa: F401  registers its queries
+from tessera.plans.registry import ORACLES, QUERIES
+
+from .conftest import MID, SMALL, TABLES
 
 
 def test_merged_sketches_are_within_their_bounds(spark, tmp_path):
@@ -36,6 +41,19 @@ def test_overlap_of_sketches_and_odd_rows(spark):
     assert got["y"] == (1, 1) and got[None] == (1, 0) and got["x"][0] == 240
 
 
+def test_overlap_agrees_with_its_sql_beyond_the_size_of_a_sketch(spark, agrees, tmp_path):
+    for t in set(TABLES) - {"orders"}:
+        os.symlink(f"{SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")
+    duckdb.sql(f"""COPY (SELECT i AS o_orderkey, CASE WHEN i % 50 > 0 THEN (i * 7919 % 9001 - 700) * CASE WHEN i % 11 = 0 THEN 1099511627776 ELSE 1 END END AS o_custkey, 1.5 * i AS o_totalprice,
+        CASE WHEN i % 40 > 0 THEN TIMESTAMP '2023-07-01' + to_days((i % 400)::INT) END AS o_orderdate, CASE i % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' WHEN 2 THEN '3-MEDIUM' END AS o_orderpriority
+        FROM range(80000) t(i) UNION ALL SELECT -i, i, 1, TIMESTAMP '2023-01-31', '5-LOW' FROM range(9000) t(i) UNION ALL SELECT -9000 - i, i, 1, NULL, '5-LOW' FROM range(50) t(i)
+        UNION ALL SELECT -9050 - i, NULL, NULL, TIMESTAMP '2021-01-01', '1-URGENT' FROM range(3) t(i)) TO '{tmp_path}/orders.parquet'""")
+    df = QUERIES["agg_sketch_overlap"](spark, str(tmp_path))
+    agrees(df, ORACLES["agg_sketch_overlap"], str(tmp_path))
+    counts = {r["year"]: (r["n_a"], r["n_b"], r["n_both"]) for r in df.collect()}
+    assert min(counts["2023"][:2]) > 4_096 and counts["2021"] == (0, 0, 0) and min(counts[None][:2]) > 0 == counts[None][2]
+
+
 def test_bitmaps_count_exactly_through_two_levels(spark):
     r = random.Random(1)
     rows = [(r.choice("ab"), r.randrange(5), r.choice([None, r.randrange(-70_000, 70_000), r.randrange(20), 2**40 + r.randrange(9)])) for _ in range(3_000)]
